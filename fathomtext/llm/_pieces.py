@@ -1,0 +1,105 @@
+"""Token ids of a piece model for whole texts, by exact word-wise encoding with a bounded memo.
+
+A piece model whose vocabulary has the space mark only at the start of pieces (or in runs
+of marks) never merges across a space, and characters outside its vocabulary (a line end
+among them) fall back to bytes and never merge. So a text's ids are the ids of its chunks,
+each a space run with the word behind it, or a line end with the word behind it. The memo
+keeps ids of chunks seen by this worker; it is emptied when it reaches a fixed size.
+The properties are checked when the model is loaded; without them texts are encoded whole.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+
+import numpy as np
+
+MEMO_CHUNKS = 400_000
+LONG = 200  # longer chunks aren't kept
+_CHUNK = re.compile(" +[^ ]*")
+
+
+class Pieces:
+    """ids(texts) gives (ids of all texts in a row, offsets of texts), as the library does for whole texts."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = self.model.get_piece_size()
+        names = [self.model.id_to_piece(i) for i in range(size)]
+        self.size = size
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(size)])
+        mark = "▁"
+        own = [(n, i) for i, n in enumerate(names) if not self.model.is_byte(i) and not self.model.is_control(i) and not self.model.is_unknown(i)]
+        probe = "a b c  d\ne\tf▁g Ａ½"
+        self.by_chunk = all((mark not in n.lstrip(mark)) and not re.search("[ \n]", n) for n, _ in own) and self.model.decode(self.model.encode(probe)) == probe.replace(mark, " ") and not any(self.model.is_byte(i) is False and n == "\n" for n, i in own)
+        self.line_end = self.model.encode("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: defaultdict[str, int] = defaultdict()
+        self.slot.default_factory = self.slot.__len__
+        self.known = 0
+        self.at = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.int32)
+
+    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """A chunk starts with a space (dropped here: the model puts it in front) or is a line end and a word."""
+        out = self.model.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
+        head = len(self.line_end)
+        mark = self.model.piece_to_id("▁")
+        for i, c in enumerate(chunks):
+            if c == " ":
+                out[i] = [mark]
+            elif c[0] == "\n":  # without the space that the model put before the line end
+                out[i] = self.line_end[1:] + out[i][head:]
+        return out
+
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        text = " " + text.replace("▁", " ")
+        if "\n" not in text:
+            return _CHUNK.findall(text)
+        first, *lines = text.split("\n")
+        out = _CHUNK.findall(first)
+        for line in lines:
+            word, space, rest = line.partition(" ")
+            out.append("\n" + word)
+            if space:
+                out += _CHUNK.findall(space + rest)
+        return out
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_chunk:
+            rows = self.model.encode(texts, num_threads=1)
+            return np.array([i for r in rows for i in r], np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        if len(self.slot) > MEMO_CHUNKS:
+            self._forget()
+        slots, counts = [], np.zeros(len(texts) + 1, np.int64)
+        get = self.slot.__getitem__
+        for i, t in enumerate(texts):
+            if t:
+                c = self._chunks(t)
+                counts[i + 1] = len(c)
+                slots.append(np.fromiter(map(get, c), np.int64, len(c)))
+        if len(self.slot) > self.known:
+            import itertools
+
+            new = list(itertools.islice(self.slot, self.known, None))
+            rows = self._encode_chunks(new)
+            self.flat = np.concatenate([self.flat, np.array([i for r in rows for i in r], np.int32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(r) for r in rows])])
+            self.known = len(self.slot)
+        slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
+        size = self.at[slot + 1] - self.at[slot]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(upto[-1]) + np.repeat(self.at[slot] - upto[:-1], size)
+        ids, ends = self.flat[place], upto[np.cumsum(counts)]
+        if self.known > MEMO_CHUNKS:
+            self._forget()
+        return ids, ends
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        return np.diff(self.ids(texts)[1])
