@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomtext.llm import decontaminate, fertility, mixing, near_dups, sharding
+from fathomtext.llm import decontaminate, fertility, language_id, mixing, near_dups, sharding, substrings, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    profiles = language_id.learn(docs.where(~held_out))
+    found = language_id.identify(docs, profiles)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = fertility.quality(_table(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fragment_share", "token_entropy", "script", "broken_bands")
@@ -27,6 +35,17 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op7_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op9_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts, _ = token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op8_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +56,7 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fertility_rules, op3_feistel_shards, op5_pareto_mix, op8_suffix_automaton, op10_circulant_minhash)}
+    return {f.__name__: f for f in (op1_rank_order_profiles, op2_fertility_rules, op3_feistel_shards, op5_pareto_mix, op7_prefix_suffix_trees, op8_suffix_automaton, op9_digest_cache, op10_circulant_minhash)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,6 +95,16 @@ w AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(o / (1 + o) *
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= need OR upto - need < need - (upto - size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM w
 """
 
+OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda p: md5(array_to_string(w[p:p + 19], ' ')))) AS s FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM p),
+x AS (SELECT doc_id, list(DISTINCT x) AS gone FROM (SELECT doc_id, unnest(range(p, p + 20)) AS x FROM g WHERE r > 1) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
 OP8 = rf"""
 WITH i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda p: array_to_string(w[p:p + n - 1], ' '))) AS s FROM (SELECT *, least(13, len(w)) AS n FROM i) WHERE n > 0),
@@ -101,4 +130,4 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_feistel_shards": OP3, "op5_pareto_mix": OP5, "op8_suffix_automaton": OP8, "op10_circulant_minhash": OP10}
+    return {"op7_prefix_suffix_trees": OP7, "op3_feistel_shards": OP3, "op5_pareto_mix": OP5, "op8_suffix_automaton": OP8, "op10_circulant_minhash": OP10}
