@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomtext.llm import decontaminate, fertility, language_id, mixing, near_dups, sharding, substrings, token_counts
+from fathomtext.llm import decontaminate, fertility, language_id, mixing, near_dups, pii, sharding, substrings, token_counts, warc
+from fathomtext.llm._spark import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,16 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
     return m.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
@@ -56,7 +69,7 @@ def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rank_order_profiles, op2_fertility_rules, op3_feistel_shards, op5_pareto_mix, op7_prefix_suffix_trees, op8_suffix_automaton, op9_digest_cache, op10_circulant_minhash)}
+    return {f.__name__: f for f in (op1_rank_order_profiles, op2_fertility_rules, op3_feistel_shards, op4_content_addressed_warc, op5_pareto_mix, op6_weak_supervision, op7_prefix_suffix_trees, op8_suffix_automaton, op9_digest_cache, op10_circulant_minhash)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -81,6 +94,13 @@ p AS (SELECT *, l * b + r AS p FROM f WHERE i = 7 AND l * b + r < n)
 SELECT doc_id, size, text_crc32, 'rows' AS law, (p % 8)::INTEGER AS shard, p // 8 AS slot, NULL::INTEGER AS grown_shard FROM p
 """
 
+OP4 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest
+"""
+
 OP5 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -130,4 +150,4 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, doc_id =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_prefix_suffix_trees": OP7, "op3_feistel_shards": OP3, "op5_pareto_mix": OP5, "op8_suffix_automaton": OP8, "op10_circulant_minhash": OP10}
+    return {"op4_content_addressed_warc": OP4, "op7_prefix_suffix_trees": OP7, "op3_feistel_shards": OP3, "op5_pareto_mix": OP5, "op8_suffix_automaton": OP8, "op10_circulant_minhash": OP10}
