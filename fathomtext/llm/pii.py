@@ -8,7 +8,7 @@ a shape labeler, a gazetteer labeler (known domains and number prefixes), a cont
 announce secrets, versions or serial numbers). Expectation-maximisation over the counts of
 vote patterns estimates each labeler's reliability, and the posteriors train a logistic span
 classifier on span features. Patterns and feature combinations are bounded (4 kinds, 3 ** 5
-votes, 2 ** 7 features), so only such small tables reach the driver, from all documents.
+votes, 2 ** 8 features), so only such small tables reach the driver, from all documents.
 Base spans always stay; the classifier adds candidates it is sure of that overlap none.
 
 Defined cases: null text is empty; repeated rows are judged each on its own; an empty table
@@ -43,7 +43,7 @@ CONTEXT = {"email": "e-?mail|mail|contact|kontakt|correo|courriel", "ip": "ip|ad
 AGAINST = "token|secret|key|version|serial|isbn|order|invoice|sha|md5"
 DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$"
 CARD_STARTS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
-FEATURES = ["bias", "long", "separated", "announced", "spoken_against", "known", "shaped"]
+FEATURES = ["bias", "long", "separated", "announced", "spoken_against", "known", "shaped", "valid"]
 SURE = 0.95
 
 
@@ -110,7 +110,7 @@ def _judged(s: Column) -> Column:
 
     off = F.lit(False)
     votes = [vote(s["base"], ~s["base"]), vote(shaped, ~shaped), vote(known, ~known), vote(announced, off), vote(off, against)]
-    flags = [F.lit(1), long.cast("int"), m.rlike(r"[\x20()-]").cast("int"), announced.cast("int"), against.cast("int"), known.cast("int"), shaped.cast("int")]
+    flags = [F.lit(1), long.cast("int"), m.rlike(r"[\x20()-]").cast("int"), announced.cast("int"), against.cast("int"), known.cast("int"), shaped.cast("int"), F.when(k.isin(1, 2), s["base"]).otherwise(True).cast("int")]
     return F.struct(s["start"].alias("start"), k.alias("k"), s["end"].alias("end"), s["base"].alias("base"), F.array(*votes).alias("v"), F.array(*flags).alias("f"))
 
 

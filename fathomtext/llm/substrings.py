@@ -9,7 +9,8 @@ for them. The other segments are sorted into groups small enough for memory, whe
 truncated subtrees are built level by level (names of 1, 2, 4, 8, ... words, pairs of
 names naming the next level); a node at full depth with several leaves is a repeat.
 Groups larger than ``GROUP`` segments take the longest prefix instead, the whole window:
-such a group is one node, reduced by a partial aggregation and joined back, never gathered.
+such a group is one node, reduced by partial aggregations (of equal segments first, then
+of the windows of distinct segments) and joined back, never gathered.
 
 Words are compared by 64-bit hashes in subtrees, windows of large groups by 128 bits.
 
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -127,18 +129,22 @@ def _ship(window: int):
 
 
 def _spell(window: int):
-    """Single windows of large groups, named by 128 bits."""
+    """Segments of large groups: a 128-bit name of the whole segment and of each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, w, row, first, n, _ in _chosen(batch, window, "hot"):
-                one, _ = w.windows(window)
-                two = mix(w.hashes ^ np.uint64(0x5555AAAA5555AAAA))
-                other, _ = Words(w.data, w.rows, w.starts, w.ends, w.at, two).windows(window)
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-                r = np.repeat(row, n)
-                rows = pa.array(r + a)
-                yield pa.RecordBatch.from_arrays([pa.array(one[at].astype(np.int64)), pa.array(other[at].astype(np.int64)), batch.column("doc_id").take(rows), batch.column("rid").take(rows), pa.array((at - w.at[r]).astype(np.int32))], names=["f1", "f2", "doc_id", "rid", "first"])
+                edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+                j = np.arange(edge[-1]) - np.repeat(edge[:-1], n)
+                at = np.repeat(first, n) + j
+                cols = []
+                for hashes in (w.hashes, mix(w.hashes ^ np.uint64(0x5555AAAA5555AAAA))):
+                    f = Words(w.data, w.rows, w.starts, w.ends, w.at, hashes).windows(window)[0][at]
+                    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(f + j.astype(np.uint64)), dtype=np.uint64)])
+                    name = mix((total[edge[1:]] - total[edge[:-1]]) ^ n.astype(np.uint64))
+                    cols += [pa.array(name.astype(np.int64)), pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(f.astype(np.int64)))]
+                rows = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([*cols, batch.column("doc_id").take(rows), batch.column("rid").take(rows), pa.array((first - w.at[row]).astype(np.int32))], names=["s1", "f", "s2", "g", "doc_id", "rid", "first"])
 
     return run
 
@@ -228,7 +234,7 @@ def _finish(window: int):
                 out = []
                 for i in range(b - a):
                     gone = np.zeros(int(w.counts[i]), bool)
-                    for s in spans[a + i] or []:
+                    for s in chain.from_iterable(spans[a + i] or []):
                         gone[s["first"] : s["first"] + s["n"] + window - 1] = True
                     out.append(_result(w, i, gone))
                 n, r, h = zip(*out, strict=True)
@@ -251,12 +257,21 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
     shipped = open_.where("size(anchors) > 0").select("doc_id", "rid", "anchors", "text").mapInArrow(_ship(window), f"anchor bigint, doc_id {kind}, rid bigint, first int, n int, body string")
     small = shipped.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_subtrees(window), f"doc_id {kind}, rid bigint, first int, n int")
 
-    spelt = keep(open_.where("size(hot) > 0").select("doc_id", "rid", "hot", "text").mapInArrow(_spell(window), f"f1 bigint, f2 bigint, doc_id {kind}, rid bigint, first int"), "spelt")
+    # large groups: equal segments fold to their earliest one, only distinct segments are opened into windows
+    spelt = keep(open_.where("size(hot) > 0").select("doc_id", "rid", "hot", "text").mapInArrow(_spell(window), f"s1 bigint, f array<bigint>, s2 bigint, g array<bigint>, doc_id {kind}, rid bigint, first int"), "spelt")
     place = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), F.col("first").alias("f"))
-    earliest = spelt.groupBy("f1", "f2").agg(F.min(place).alias("m"), F.max(place).alias("l")).where("m <> l").select("f1", "f2", "m")
-    large = spelt.join(earliest, ["f1", "f2"]).where(place > F.col("m")).select("doc_id", "rid", "first", F.lit(1).alias("n"))
+    distinct = spelt.groupBy("s1", "s2").agg(F.min(place).alias("m"), F.first("f").alias("f"), F.first("g").alias("g"))
+    windows = distinct.select("s1", "s2", "m", F.posexplode(F.arrays_zip("f", "g")).alias("o", "w"))
+    windows = windows.select("s1", "s2", "o", "w.f", "w.g", F.struct(F.col("m.x").alias("x"), F.col("m.d").alias("d"), (F.col("m.f") + F.col("o")).alias("f")).alias("at"))
+    earliest = windows.groupBy("f", "g").agg(F.min("at").alias("b"))
+    named = windows.join(earliest, ["f", "g"]).groupBy("s1", "s2").agg(F.collect_list(F.struct("o", "b")).alias("bs"))  # at most window - GRAM + 1 each
 
-    spans = small.unionByName(large).groupBy("rid").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    def later(x):
+        return F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), (F.col("first") + x["o"]).alias("f")) > x["b"]
+
+    large = spelt.select("s1", "s2", "doc_id", "rid", "first").join(named, ["s1", "s2"]).select("rid", F.transform(F.filter("bs", later), lambda x: F.struct((F.col("first") + x["o"]).alias("first"), F.lit(1).alias("n"))).alias("s")).where("size(s) > 0")
+
+    spans = small.select("rid", F.array(F.struct("first", "n")).alias("s")).unionByName(large).groupBy("rid").agg(F.collect_set("s").alias("spans"))
     done = state.where("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     rest = open_.select("doc_id", "rid", "text").join(spans, "rid", "left").select("doc_id", "text", "spans")
     return done.unionByName(rest.mapInArrow(_finish(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"))
