@@ -1,9 +1,298 @@
-"""Registered queries."""
+"""Registered queries over the test tables, and the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fathomtext.functions import errors, models, prompts, text, usage, vectors
+from fathomtext.functions.models import Limits
+from fathomtext.operators import budget, cache, embed, markdown, rerank, split, tokens
+from fathomtext.operators.split import SplitOptions
+from fathomtext.sources.embedders import HashEmbedder, embed_one
+
+SERVED = ["nomic-embed-text", "user.Nomic-Embed-Text-GGUF:latest", "nomic-embed-text-v2", "Embeddinggemma.gguf", "bge-reranker-v2-m3:q8", "nomic-embed-text-v2-moe", "unknown-model", ":odd"]
+ANSWERS = [(400, "maximum context reached"), (400, "invalid token"), (413, ""), (429, "slow down"), (500, "too long"), (503, ""), (404, "no such model"), (422, "Input LENGTH over"), (301, "")]
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents")
+
+
+def _names(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in SERVED))).alias("name"))
+
+
+def _answers(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(s).alias("status"), F.lit(b).alias("body")) for s, b in ANSWERS))))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stripped, split, embedded offline, and the nearest chunks to one query."""
+    e = HashEmbedder()
+    pages = _t(spark, sf_dir, "pages").select("page_id", text.strip_nonsemantic(F.col("html")).alias("text"))
+    chunks = split.split_df(pages, options=SplitOptions(max_bytes=1024, overlap=128), keep=("page_id",))
+    chunks = chunks.withColumn("row_id", F.concat_ws(":", "page_id", "ordinal"))
+    found = embed.embed_df(chunks, e)
+    query = F.array(*(F.lit(float(x)).cast("float") for x in embed_one(e, "the report of the year")))
+    scored = found.select("row_id", F.round(vectors.cosine(F.col("vector"), query), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "row_id").limit(5)
+
+
+def strip_nonsemantic(spark, sf_dir):
+    p = _t(spark, sf_dir, "pages")
+    extra = F.concat(F.col("html"), F.lit("\n\n\n\n![pic](http://a.b/c) [home]("), F.col("url"), F.lit(") é"), F.col("url"), F.lit(" end  "))
+    return p.select("page_id", text.strip_nonsemantic(extra).alias("text"))
+
+
+def normalize_query(spark, sf_dir):
+    return _t(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.normalize_query(F.concat(F.lit("  "), F.col("text"), F.lit("\n ÉÀ \tX"))).alias("query"))
+
+
+def cache_key(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select("conv_id", "turn", F.sha2(text.cache_key(F.lit("nomic-embed-text"), F.lit(64), F.col("text")), 256).alias("key"))
+
+
+def truncate_bytes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.truncate_bytes(F.col("text"), 1021).alias("text"))
+
+
+def limits_flag(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.octet_length("text") > 6000).alias("over"), F.sum(F.octet_length(text.truncate_bytes(F.col("text"), 6000))).alias("bytes"))
+
+
+def strict_reject(spark, sf_dir):
+    r = budget.apply_limits(F.col("text"), Limits(6000, 0), "m", strict=True, index=F.col("doc_id"))
+    return _docs(spark, sf_dir).select("doc_id", r.alias("r")).select("doc_id", F.octet_length("r.text").alias("bytes"), F.col("r.error.message").alias("message"), F.col("r.error.permanent").alias("permanent"))
+
+
+def limit_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.octet_length(budget.limit_documents(F.col("text"), 18000)).alias("bytes"))
+
+
+def shrink_once(spark, sf_dir):
+    size = F.octet_length("text")
+    return _docs(spark, sf_dir).select("doc_id", F.when(size > 256, text.shrink_size(F.col("text"))).otherwise(size).alias("keep_bytes"), (size > 256).alias("changed"))
+
+
+def format_record(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", prompts.format_record(prompts.fields(("lang", F.col("lang")), ("empty", F.lit("")), ("source", F.col("source"))), F.col("text")).alias("record"))
+
+
+def format_for_task(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", *(prompts.format_for_task(m, t, F.col("source")).alias(f"{m[:5]}_{t.replace('-', '_')}") for m in ("nomic-embed-text", "embeddinggemma") for t in (prompts.RETRIEVAL_QUERY, prompts.RETRIEVAL_DOCUMENT, prompts.CODE_RETRIEVAL)))
+
+
+def format_record_for_task(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", prompts.format_record_for_task("nomic-embed-text", prompts.CLUSTERING, prompts.fields(("lang", F.col("lang"))), F.col("text")).alias("record"))
+
+
+def format_retrieval_doc(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    title = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("")
+    items = prompts.fields(("lang", F.col("lang")))
+    return d.select("doc_id", prompts.format_retrieval_document("embeddinggemma", title, items, F.col("source")).alias("gemma"), prompts.format_retrieval_document("nomic-embed-text", title, items, F.col("source")).alias("nomic"))
+
+
+def canonical_model(spark, sf_dir):
+    return _names(spark).select("name", models.canonical_name(F.col("name")).alias("canonical"))
+
+
+def lookup_limits(spark, sf_dir):
+    x = _names(spark).select("name", models.model_limits(F.col("name")).alias("l"))
+    return x.select("name", "l.max_bytes", "l.max_tokens")
+
+
+def lookup_model(spark, sf_dir):
+    rows = [(n, i.canonical, i.limits.max_bytes, i.has_prompts, known) for n in SERVED for i, known in [models.DEFAULT.lookup_model(n)]]
+    return spark.createDataFrame(rows, "name string, canonical string, max_bytes int, has_prompts boolean, known boolean")
+
+
+def effective_limits(spark, sf_dir):
+    cases = [("nomic-embed-text", 0, 0, 0.0), ("nomic-embed-text", 100, 0, 0.0), ("x", 0, 1000, 1.75), ("x", 0, 1000, 0.0), ("x", 50, 1000, 1.75)]
+    rows = [(m, b, t, r, e.max_bytes, e.max_tokens) for m, b, t, r in cases for e in [models.DEFAULT.effective_limits(m, Limits(b, t), r)]]
+    return spark.createDataFrame(rows, "model string, set_bytes int, set_tokens int, ratio double, max_bytes int, max_tokens int")
+
+
+def classify_http(spark, sf_dir):
+    return _answers(spark).select("status", "body", errors.classify_http(F.col("status"), F.col("body")).alias("c")).select("status", "body", "c.permanent", "c.too_long")
+
+
+def rerank_classify(spark, sf_dir):
+    return _answers(spark).select("status", "body", errors.classify_rerank_http(F.col("status"), F.col("body")).alias("c")).select("status", "body", "c.unavailable", "c.permanent", "c.too_long")
+
+
+def context_length(spark, sf_dir):
+    return _answers(spark).select("status", "body", errors.context_length(F.col("status"), F.col("body")).alias("context_length"))
+
+
+def _pairs(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return e.alias("a").join(F.broadcast(e.where("vec_id < 5")).alias("b"), F.col("a.vec_id") != F.col("b.vec_id")).select(F.col("b.vec_id").alias("query_id"), F.col("a.vec_id").alias("doc_index"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("score"))
+
+
+def cosine_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)
+
+
+def cosine_topk(spark, sf_dir):
+    return rerank.rank(_pairs(spark, sf_dir), 10)
+
+
+def cosine_guards(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    return e.select("vec_id", vectors.cosine(F.col("embedding"), zero).alias("zero"), vectors.cosine(F.col("embedding"), F.slice("embedding", 1, 3)).alias("uneven"), vectors.cosine(F.slice("embedding", 1, 0), F.slice("embedding", 1, 0)).alias("empty"))
+
+
+def codec_roundtrip(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").withColumn("b", vectors.encode_floats(F.col("embedding")))
+    return e.select("vec_id", F.octet_length("b").alias("bytes"), (vectors.decode_floats(F.col("b")) == F.col("embedding")).alias("same"), F.size(vectors.decode_floats(F.substring("b", 1, 9))).alias("cut"))
+
+
+def fingerprint_check(spark, sf_dir):
+    return vectors.fingerprint(_t(spark, sf_dir, "embeddings"), "nomic-embed-text", "embedding")
+
+
+def _log(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    words = F.size(F.split("text", " "))
+    return d.select(F.col("doc_id").alias("seq"), F.col("lang").alias("model"), F.octet_length("text").cast("bigint").alias("bytes"), words.cast("bigint").alias("tokens"), (words >= 500).alias("clipped"))
+
+
+def usage_rows(spark, sf_dir):
+    d = _log(spark, sf_dir)
+    u = usage.usage_row(F.col("model"), F.lit(1), F.col("bytes"), F.col("tokens"), Limits(0, 500))
+    return d.select("seq", u.alias("u")).select("seq", "u.model", "u.inputs", "u.bytes", "u.tokens", "u.max_tokens", "u.clipped")
+
+
+def _calibrated(df):
+    return df.select("model", "samples", "clipped", *(F.round(c, 6).alias(c) for c in ("min", "p10", "median", "mean")))
+
+
+def calibration(spark, sf_dir):
+    return _calibrated(usage.calibration(_log(spark, sf_dir)))
+
+
+def calibration_window(spark, sf_dir):
+    return _calibrated(usage.calibration(_log(spark, sf_dir), 50))
+
+
+def sigmoid_scores(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("query_id", "doc_index", F.round(rerank.sigmoid(F.col("score") * 10), 6).alias("score"))
+
+
+def rerank_topn(spark, sf_dir):
+    return rerank.rank(_pairs(spark, sf_dir), 3)
+
+
+def rerank_ties(spark, sf_dir):
+    return rerank.rank(_pairs(spark, sf_dir).withColumn("score", F.round("score", 1)))
+
+
+def cache_split(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").where("role = 'user'")
+    stored = cache.keyed(c.where("conv_id % 3 = 0"), "m", 64).groupBy("key").agg(F.lit(None).cast("array<float>").alias("vector"))
+    hits, misses = cache.split_cached(c, stored, "m", 64)
+    return hits.select("conv_id", "turn", F.lit(True).alias("hit")).unionByName(misses.select("conv_id", "turn", F.lit(False).alias("hit")))
+
+
+def cache_evict(spark, sf_dir):
+    c = cache.keyed(_t(spark, sf_dir, "conversations").where("role = 'user'"), "m", 64).select(F.sha2("key", 256).alias("key"), F.lit(None).cast("array<float>").alias("vector"), F.col("conv_id").alias("last_used"))
+    return cache.evict(c, 20).select("key", "last_used")
+
+
+def _ascii(spark, sf_dir):
+    return _docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
+
+
+def token_truncate_words(spark, sf_dir):
+    return _ascii(spark, sf_dir).select("doc_id", F.rtrim(tokens.truncate_tokens(F.col("text"), 10)).alias("text"))
+
+
+def token_count(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tokens.count_tokens(F.col("text")).alias("n"))
+
+
+def _spans(df, **options):
+    return split.split_df(df, options=SplitOptions(**options), keep=("doc_id",))
+
+
+def split_bytes(spark, sf_dir):
+    return _spans(_ascii(spark, sf_dir), max_bytes=1024).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("start").alias("cs"), F.col("end").alias("ce"))
+
+
+def split_overlap(spark, sf_dir):
+    return _spans(_ascii(spark, sf_dir), max_bytes=1024, overlap=128).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("start").alias("cs"), F.col("end").alias("ce"))
+
+
+def split_full(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), max_bytes=1024, overlap=128)
+
+
+def split_sql(spark, sf_dir):
+    split.register_sql(spark)
+    _docs(spark, sf_dir).createOrReplaceTempView("__documents")
+    return spark.sql("SELECT d.doc_id, s.* FROM __documents d, LATERAL split_text(d.text, 2000, 0) s")
+
+
+def _rendered(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    line = F.concat(F.lit("\n## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n\n"), F.col("text"), F.lit("\n"))
+    turns = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "").alias("t"))
+    return turns.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n"), F.col("t")).alias("text"))
+
+
+def split_markdown(spark, sf_dir):
+    return _spans(_rendered(spark, sf_dir), max_bytes=400, markdown=True)
+
+
+def split_minbytes(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), max_bytes=1000, min_bytes=300)
+
+
+def split_tokens(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), max_tokens=100, tokenizer=tokens.count_words)
+
+
+def headings(spark, sf_dir):
+    return _rendered(spark, sf_dir).select("doc_id", F.inline(markdown.headings(F.col("text"))))
+
+
+def embed_hash(spark, sf_dir):
+    return embed.embed_df(_docs(spark, sf_dir), HashEmbedder(), "doc_id")
+
+
+def batch_embed_results(spark, sf_dir):
+    out = embed.embed_df(_docs(spark, sf_dir), HashEmbedder(), "doc_id", deterministic=True)
+    return out.select("doc_id", F.size("vector").alias("dim"), F.col("error").isNull().alias("good"))
+
+
+def cached_embedding(spark, sf_dir):
+    e = HashEmbedder()
+    c = _t(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("row_id"), "text")
+    known = embed.embed_df(c.where("row_id LIKE '1%'"), e).join(c, "row_id")
+    stored = cache.keyed(known, e.model, e.dim).groupBy("key").agg(F.max_by("vector", "row_id").alias("vector"))
+    out, _ = cache.embed_cached(c, stored, e, e.dim, 1)
+    return out
+
+
+_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
 
 
 def queries():
-    return {}
+    return {f.__name__: f for f in _ALL} | {"flagship": flagship}
 
 
 def oracle_sql():
-    return {}
+    from fathomtext.plans.oracle import ORACLE
+
+    return ORACLE
