@@ -85,16 +85,20 @@ def _sketch(k: int, bands: int, rows: int):
     return run
 
 
-def _coordinates(k: int, width: int):
-    """Signatures cut to 16 bits a coordinate, for counting how many agree."""
+def _coordinates(k: int, bands: int, rows: int):
+    """Signatures cut to 16 bits a coordinate, for counting how many agree, and the buckets they fall in."""
+    width = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = _second_permutation(width)
         for batch in batches:
             for a, b, w in word_slices(batch.column("text"), lower=True):
-                s = signatures(*shingles(w, k), width, view).astype(np.uint16).view(np.int16)
+                whole = signatures(*shingles(w, k), width, view)
+                buckets = band_keys(whole, bands, rows)
+                buckets = pa.ListArray.from_arrays(np.arange(0, buckets.size + 1, bands, dtype=np.int32), pa.array(buckets.ravel()))
+                s = whole.astype(np.uint16).view(np.int16)
                 s = pa.ListArray.from_arrays(np.arange(0, s.size + 1, width, dtype=np.int32), pa.array(s.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(a, b - a), s], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("rid").slice(a, b - a), s, buckets], names=["node", "s", "bs"])
 
     return run
 
@@ -189,13 +193,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     named = shared.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y AND c > 2").select("bucket")
     apart = keep(named.join(split, "bucket"), "apart")
-    sketched = texts.select("rid", "text").mapInArrow(_coordinates(k, bands * rows), "node bigint, s array<smallint>")
+    sketched = texts.select("rid", "text").mapInArrow(_coordinates(k, bands, rows), "node bigint, s array<smallint>, bs array<bigint>")
     sketched = sketched.join(apart.select("node").distinct(), "node", "left_semi")
     apart = keep(apart.join(sketched, "node"), "apart")
     pivot_root = apart.where("node = p").select("bucket", F.col("root").alias("proot"))
-    left = apart.join(pivot_root, "bucket").where("root <> proot").selectExpr("bucket", "node AS x", "s AS xs", "root AS xroot", "proot")
+    left = apart.join(pivot_root, "bucket").where("root <> proot").selectExpr("bucket", "node AS x", "s AS xs", "bs AS xbs", "root AS xroot", "proot")
     agree = "aggregate(zip_with(s, xs, (i, j) -> if(i = j, 1, 0)), 0, (n, i) -> n + i)"
-    rest = left.join(apart, "bucket").where(f"xroot <> root AND (root = proot OR x < node) AND node <> p AND {agree} >= {least_agreement(bands * rows, percent)}")
+    once = "array_min(array_intersect(bs, xbs)) = bucket"  # of the buckets that a pair shares, one looks at it
+    rest = left.join(apart, "bucket").where(f"xroot <> root AND (root = proot OR x < node) AND node <> p AND {once} AND {agree} >= {least_agreement(bands * rows, percent)}")
     rest = rest.selectExpr("least(node, x) AS a", "greatest(node, x) AS b").distinct().join(tested, ["a", "b"], "left_anti")
     more = compared(rest).where("linked")
     if not more.isEmpty():
