@@ -139,13 +139,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for all nodes of ``edges(a, b)`` by alternating large and small stars.
 
     root is the smallest node of the component. Each star is a partial aggregation and a
-    join, so a node with very many neighbours is no single task; edges stay distributed."""
+    join of two tables, which Spark can split at a node with very many neighbours; edges
+    stay distributed."""
     spark = edges.sparkSession
     e = keep(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "edges")
     was = None
     for _ in range(rounds):
         both = e.unionByName(e.selectExpr("v AS u", "u AS v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.selectExpr("u", "m AS v")).distinct()
@@ -167,12 +168,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     # a class of equal sets is called by the hash of one of its texts
     classes = sketch.where("n > 0").groupBy("cid").agg(F.min("rid").alias("node"), F.max("n").alias("n"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     member = keep(classes.select("node", F.explode("bands").alias("bucket")), "members")
-    sizes = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    # what is known of a bucket is written before it's joined: Spark splits a large bucket only in a join of plain shuffles
+    sizes = keep(member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     shared = keep(member.join(sizes, "bucket"), "shared")
     # the least edited copy has the band keys that most others have: it makes the best pivot
     central = shared.groupBy("node").agg(F.sum("c").alias("weight"))
     shared = keep(shared.drop("c").join(central, "node"), "shared")
-    pivots = shared.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("p"))
+    pivots = keep(shared.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("m")).select("bucket", F.col("m.node").alias("p")), "pivots")
     shared = keep(shared.drop("weight").join(pivots, "bucket"), "shared")
 
     # equal texts meet before the shuffle; one text of each class with company stays
@@ -191,16 +193,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # what the stars left apart: pairs of one bucket in different components whose signatures agree enough
     named = shared.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y AND c > 2").select("bucket")
+    named = keep(named, "named")
+    split = keep(named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y AND c > 2").select("bucket"), "split")
     apart = keep(named.join(split, "bucket"), "apart")
+    apart = apart.join(apart.where("node = p").select("bucket", F.col("root").alias("proot")), "bucket")
     sketched = texts.select("rid", "text").mapInArrow(_coordinates(k, bands, rows), "node bigint, s array<smallint>, bs array<bigint>")
     sketched = sketched.join(apart.select("node").distinct(), "node", "left_semi")
     apart = keep(apart.join(sketched, "node"), "apart")
-    pivot_root = apart.where("node = p").select("bucket", F.col("root").alias("proot"))
-    left = apart.join(pivot_root, "bucket").where("root <> proot").selectExpr("bucket", "node AS x", "s AS xs", "bs AS xbs", "root AS xroot", "proot")
+    left = apart.where("root <> proot").selectExpr("bucket", "node AS x", "s AS xs", "bs AS xbs", "root AS xroot", "proot AS xproot")
     agree = "aggregate(zip_with(s, xs, (i, j) -> if(i = j, 1, 0)), 0, (n, i) -> n + i)"
     once = "array_min(array_intersect(bs, xbs)) = bucket"  # of the buckets that a pair shares, one looks at it
-    rest = left.join(apart, "bucket").where(f"xroot <> root AND (root = proot OR x < node) AND node <> p AND {once} AND {agree} >= {least_agreement(bands * rows, percent)}")
+    rest = left.join(apart, "bucket").where(f"xroot <> root AND (root = xproot OR x < node) AND node <> p AND {once} AND {agree} >= {least_agreement(bands * rows, percent)}")
     rest = rest.selectExpr("least(node, x) AS a", "greatest(node, x) AS b").distinct().join(tested, ["a", "b"], "left_anti")
     more = compared(rest).where("linked")
     if not more.isEmpty():
