@@ -209,8 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if not more.isEmpty():
         parts = components(links.unionByName(more))
 
-    named = classes.select("cid", "node", "least_id").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = keep(classes.select("cid", "node", "least_id").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    least = keep(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     by_class = named.select("cid", "root").join(least, "root")
     out = sketch.select("doc_id", "rid", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(by_class, "cid", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
