@@ -248,7 +248,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     anchors = keep(own.select("rid", "text").mapInArrow(_anchors(window), "anchor bigint, rid bigint"), "anchors")
-    counted = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    # written, so that the join is one of plain shuffles and Spark can split a frequent anchor
+    counted = keep(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "counted")
     shared = anchors.join(counted, "anchor").groupBy("rid").agg(F.collect_set(F.when(F.col("c") <= group, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("c") > group, F.col("anchor"))).alias("hot"))
     state = own.join(shared, "rid", "left").select("doc_id", "rid", "text", "anchors", "hot")
     state = keep(state.mapInArrow(_settle, f"doc_id {kind}, rid bigint, anchors array<bigint>, hot array<bigint>, text string, n_words bigint, sha string"), "state")
@@ -263,8 +264,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
     distinct = spelt.groupBy("s1", "s2").agg(F.min(place).alias("m"), F.first("f").alias("f"), F.first("g").alias("g"))
     windows = distinct.select("s1", "s2", "m", F.posexplode(F.arrays_zip("f", "g")).alias("o", "w"))
     windows = windows.select("s1", "s2", "o", "w.f", "w.g", F.struct(F.col("m.x").alias("x"), F.col("m.d").alias("d"), (F.col("m.f") + F.col("o")).alias("f")).alias("at"))
-    earliest = windows.groupBy("f", "g").agg(F.min("at").alias("b"))
-    named = windows.join(earliest, ["f", "g"]).groupBy("s1", "s2").agg(F.collect_list(F.struct("o", "b")).alias("bs"))  # at most window - GRAM + 1 each
+    earliest = keep(windows.groupBy("f", "g").agg(F.min("at").alias("b")), "earliest")
+    named = keep(windows.join(earliest, ["f", "g"]).groupBy("s1", "s2").agg(F.collect_list(F.struct("o", "b")).alias("bs")), "named")  # at most window - GRAM + 1 each
 
     def later(x):
         return F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), (F.col("first") + x["o"]).alias("f")) > x["b"]
