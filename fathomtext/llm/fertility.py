@@ -17,6 +17,7 @@ repeated rows are judged each on its own; nothing else of a row is looked at.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -31,22 +32,30 @@ from fathomtext.llm._words import Words, mix, word_slices
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+#: fixed values: numbers of tokens that entropy floors are given for, each twice the one before
+AT = [32, 64, 128, 256, 512, 1024, 2048, 4096]
+
+
 @dataclass(frozen=True)
 class Band:
     """What is usual: characters a token (least, most), most fragment share, least entropy.
 
-    The entropy is in parts of its largest value at the text's length, log2(min(tokens, 1024)).
-    The least characters are for a long text; they are lowered by 2 / sqrt(tokens), as short texts vary."""
+    The entropy is in parts of its largest value at the text's length, log2(min(tokens, 1024)). These parts still
+    fall with length in clean prose, so least_entropy has a floor for each of AT tokens, straight between them in
+    log2(tokens) and level outside; one value alone holds for any length. The least characters are for a long text; they are lowered by 2 / sqrt(tokens), as short texts vary."""
 
     least_chars: float
     most_chars: float
     most_fragments: float
-    least_entropy: float
+    least_entropy: float | tuple[float, ...]
+
+    def floors(self) -> list[float]:
+        return list(self.least_entropy) if isinstance(self.least_entropy, tuple) else [self.least_entropy] * len(AT)
 
 
 #: fixed values: by script of most letters; "other" for the rest, "none" for texts without letters
 BANDS = {
-    "latin": Band(2.05, 8.0, 0.10, 0.58),
+    "latin": Band(2.05, 8.0, 0.10, (0.78, 0.78, 0.76, 0.725, 0.685, 0.64, 0.64, 0.65)),
     "cyrillic": Band(1.0, 8.0, 0.10, 0.45),
     "greek": Band(0.8, 8.0, 0.15, 0.45),
     "arabic": Band(0.8, 8.0, 0.15, 0.45),
@@ -158,6 +167,14 @@ def token_measures(ids: list[list[int]], fragment: np.ndarray) -> tuple[np.ndarr
     return n, parts / total, np.where(n > 1, entropy / most, 0.0)
 
 
+def entropy_floor(script: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Least entropy of texts of n tokens, by their index in SCRIPTS; verdicts() has the same in Columns."""
+    floors = np.array([b.floors() for b in BANDS.values()])
+    x = np.log2(np.clip(n, AT[0], AT[-1])) - np.log2(AT[0])
+    i = np.minimum(x.astype(np.int64), len(AT) - 2)
+    return floors[script, i] + (x - i) * (floors[script, i + 1] - floors[script, i])
+
+
 def _measure(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, fragment = _encoding(path)
@@ -197,11 +214,17 @@ def verdicts(m: DataFrame, bands: dict[str, Band]) -> DataFrame:
             out = F.when(F.col("script") == name, getattr(band, field)).otherwise(out)
         return out
 
+    floors = F.array(*map(F.lit, bands["other"].floors()))
+    for name, band in bands.items():
+        floors = F.when(F.col("script") == name, F.array(*map(F.lit, band.floors()))).otherwise(floors)
+    x = F.log2(F.least(F.greatest("n_tokens", F.lit(AT[0])), F.lit(AT[-1]))) - math.log2(AT[0])
+    i = F.least(F.floor(x).cast("int"), F.lit(len(AT) - 2))
+    floor = F.get(floors, i) + (x - i) * (F.get(floors, i + 1) - F.get(floors, i))
     broken = {
         "chars_low": F.col("chars_per_token") < of("least_chars") - 2 / F.sqrt(F.greatest("n_tokens", F.lit(1))),
         "chars_high": F.col("chars_per_token") > of("most_chars"),
         "fragments": F.col("fragment_share") > of("most_fragments"),
-        "entropy": F.col("token_entropy") < of("least_entropy"),
+        "entropy": F.col("token_entropy") < floor,
     }
     m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     m = m.withColumn("broken_bands", F.concat_ws(",", *(F.when(v, F.lit(k)) for k, v in broken.items())))
@@ -222,7 +245,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, fragment = _encoding(path)
         table = _lead_table()
-        limits = np.array([[b.least_chars, b.most_chars, b.most_fragments, b.least_entropy] for b in BANDS.values()])
+        limits = np.array([[b.least_chars, b.most_chars, b.most_fragments] for b in BANDS.values()])
         for batch in batches:
             column = batch.column(place)
             for a, b, w in word_slices(column):
@@ -231,8 +254,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 texts = [x if g else "" for x, g in zip(column.slice(a, b - a).to_pylist(), good, strict=True)]
                 n, share, entropy = token_measures([encoding.encode_ordinary(x) for x in texts], fragment)
                 per = np.array([len(x) for x in texts]) / np.maximum(n, 1)
-                band = limits[script_of(w, table)]
-                good &= (per >= band[:, 0] - 2 / np.sqrt(np.maximum(n, 1))) & (per <= band[:, 1]) & (share <= band[:, 2]) & (entropy >= band[:, 3])
+                script = script_of(w, table)
+                band = limits[script]
+                good &= (per >= band[:, 0] - 2 / np.sqrt(np.maximum(n, 1))) & (per <= band[:, 1]) & (share <= band[:, 2]) & (entropy >= entropy_floor(script, n))
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
     return docs.mapInArrow(run, docs.schema)

@@ -110,6 +110,20 @@ def test_op2_base_counts(spark, odd, nothing):
     assert not any(r.kept for r in q if r.quality == 0 and 5 * r.n_symbols > r.n_words * 10)
 
 
+def test_op2_entropy_floor_by_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    q = fertility.quality(docs)
+    got = q.where("NOT base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    bad = [r.kept for r in got if r.quality == 0]
+    good = [r.kept for r in got if r.quality == 1]
+    assert len(bad) > 300 and np.mean(bad) < 0.05  # menu lines, 'xx | yy | zz', passed at one floor for all lengths
+    assert np.mean(good) > 0.999
+    assert key(fertility.keep_good(docs).select("doc_id").collect()) == key(q.where("kept").select("doc_id").collect())
+    floor = fertility.entropy_floor(np.full(5, fertility.SCRIPTS.index("latin")), np.array([1, 32, 1024, 4096, 90000]))
+    assert np.allclose(floor, [0.78, 0.78, 0.64, 0.65, 0.65])
+
+
 def test_op3_shards(spark, odd, nothing):
     rows = sharding.feistel_shards(odd).collect()
     n = odd.count()
