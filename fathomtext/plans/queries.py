@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathomtext.functions import errors, models, prompts, text, usage, vectors
 from fathomtext.functions.models import Limits
-from fathomtext.operators import budget, cache, embed, markdown, rerank, split, tokens
+from fathomtext.operators import budget, cache, embed, markdown, pairs, rerank, split, tokens
 from fathomtext.operators.split import SplitOptions
 from fathomtext.sources.embedders import HashEmbedder, embed_one
 
@@ -147,6 +147,14 @@ def cosine_topk(spark, sf_dir):
     return rerank.rank(_pairs(spark, sf_dir), 10)
 
 
+def cosine_pairs_full(spark, sf_dir):
+    return pairs.all_pairs(_t(spark, sf_dir, "embeddings"))
+
+
+def cosine_topk_full(spark, sf_dir):
+    return rerank.rank(pairs.all_pairs(_t(spark, sf_dir, "embeddings"), most=10), 10)
+
+
 def cosine_guards(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     zero = F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
@@ -198,6 +206,18 @@ def rerank_ties(spark, sf_dir):
     return rerank.rank(_pairs(spark, sf_dir).withColumn("score", F.round("score", 1)))
 
 
+def sigmoid_scores_full(spark, sf_dir):
+    return pairs.all_pairs(_t(spark, sf_dir, "embeddings")).withColumn("score", F.round(rerank.sigmoid(F.col("score") * 10), 6))
+
+
+def rerank_topn_full(spark, sf_dir):
+    return rerank.rank(pairs.all_pairs(_t(spark, sf_dir, "embeddings"), most=3), 3)
+
+
+def rerank_ties_full(spark, sf_dir):
+    return rerank.rank(pairs.all_pairs(_t(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 1)))
+
+
 def cache_split(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").where("role = 'user'")
     stored = cache.keyed(c.where("conv_id % 3 = 0"), "m", 64).groupBy("key").agg(F.lit(None).cast("array<float>").alias("vector"))
@@ -285,7 +305,7 @@ def cached_embedding(spark, sf_dir):
     return out
 
 
-_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
+_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_pairs_full, cosine_topk_full, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, sigmoid_scores_full, rerank_topn_full, rerank_ties_full, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
 
 
 def queries():

@@ -28,3 +28,31 @@ def test_same_rows(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs(spark, name):
     assert plans.queries()[name](spark, SF).count() > 0
+
+
+def test_every_vector_is_a_query(spark, monkeypatch):
+    from fathomtext.functions import vectors
+    from fathomtext.operators import pairs, rerank
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pairs, "PER_BLOCK", 40)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 120").select("vec_id", "embedding")
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 64), (1003, [1.0, 2.0]), (1004, [1.0] * 64), (1005, [1.0] * 64), (1006, [1.0] * 64), (None, [1.0] * 64)]
+    e = e.unionByName(spark.createDataFrame(odd, "vec_id bigint, embedding array<float>"))
+    b = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    brute = e.crossJoin(b).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_index"), F.round(vectors.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
+
+    def rows(df):
+        return Counter(map(tuple, df.collect()))
+
+    assert rows(pairs.all_pairs(e).select("query_id", "doc_index", "score")) == rows(brute)
+    for n in (1, 3, 10):
+        got, want = rerank.rank(pairs.all_pairs(e, most=n), n), rerank.rank(brute, n)
+        assert rows(got.select("query_id", "doc_index", "score", "rank")) == rows(want.select("query_id", "doc_index", "score", "rank"))
+    assert pairs.all_pairs(e.limit(0)).count() == 0
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    for name, each in (("cosine_pairs_full", n - 1), ("cosine_topk_full", 10), ("sigmoid_scores_full", n - 1), ("rerank_topn_full", 3), ("rerank_ties_full", n - 1)):
+        assert [r["count"] for r in plans.queries()[name](spark, SF).groupBy("query_id").count().collect()] == [each] * n
+    for name in ("cosine_pairs", "cosine_topk", "sigmoid_scores", "rerank_topn", "rerank_ties"):  # the part that SQL says
+        cut = plans.queries()[f"{name}_full"](spark, SF).where("query_id < 5")
+        assert rows(cut.select(sorted(cut.columns))) == rows(plans.queries()[name](spark, SF).select(sorted(cut.columns)))
