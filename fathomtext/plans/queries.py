@@ -238,6 +238,10 @@ def token_truncate_words(spark, sf_dir):
     return _ascii(spark, sf_dir).select("doc_id", F.rtrim(tokens.truncate_tokens(F.col("text"), 10)).alias("text"))
 
 
+def token_truncate_words_full(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.rtrim(tokens.truncate_tokens(F.col("text"), 10)).alias("text"))
+
+
 def token_count(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tokens.count_tokens(F.col("text")).alias("n"))
 
@@ -254,6 +258,10 @@ def split_overlap(spark, sf_dir):
     return _spans(_ascii(spark, sf_dir), max_bytes=1024, overlap=128).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("start").alias("cs"), F.col("end").alias("ce"))
 
 
+def split_bytes_full(spark, sf_dir):
+    return _spans(_docs(spark, sf_dir), max_bytes=1024)
+
+
 def split_full(spark, sf_dir):
     return _spans(_docs(spark, sf_dir), max_bytes=1024, overlap=128)
 
@@ -305,7 +313,7 @@ def cached_embedding(spark, sf_dir):
     return out
 
 
-_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_pairs_full, cosine_topk_full, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, sigmoid_scores_full, rerank_topn_full, rerank_ties_full, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
+_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_pairs_full, cosine_topk_full, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, sigmoid_scores_full, rerank_topn_full, rerank_ties_full, cache_split, cache_evict, token_truncate_words, token_truncate_words_full, token_count, split_bytes, split_overlap, split_bytes_full, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
 
 
 def queries():

@@ -56,3 +56,90 @@ def test_every_vector_is_a_query(spark, monkeypatch):
     for name in ("cosine_pairs", "cosine_topk", "sigmoid_scores", "rerank_topn", "rerank_ties"):  # the part that SQL says
         cut = plans.queries()[f"{name}_full"](spark, SF).where("query_id < 5")
         assert rows(cut.select(sorted(cut.columns))) == rows(plans.queries()[name](spark, SF).select(sorted(cut.columns)))
+
+
+BLANK = " \t\n\r"
+
+
+def brute_spans(text, most, overlap):
+    """Spans by looking at each place between code points: the last paragraph, line, sentence or word end that fills half the window."""
+    at = [0]
+    for c in text:
+        at.append(at[-1] + len(c.encode()))
+    n, out, start, last = at[-1], [], 0, -1
+    if not text.strip():
+        return []
+
+    def floor(b):
+        return max(p for p in at if p <= b)
+
+    def put(a, b):
+        i, j = at.index(a), at.index(b)
+        while i < j and text[i] in BLANK:
+            i += 1
+        while j > i and text[j - 1] in BLANK:
+            j -= 1
+        if i < j:
+            out.append((at[i], at[j]))
+        return i < j
+
+    if n <= most:
+        put(0, n)
+        return out
+    while n - start > most:
+        limit, first = start + most, at.index(start)
+        least = start + most * 50 // 100
+        inside = [k for k in range(first + 1, len(at)) if at[k] <= limit]
+        kinds = (
+            [k for k in inside if k - 2 >= first and text[k - 2 : k] == "\n\n"],
+            [k for k in inside if text[k - 1] == "\n"],
+            [k for k in inside if at[k] < limit and text[k - 1] in ".!?" and text[k] in BLANK],
+            [k for k in inside if at[k] < limit and text[k] in BLANK],
+        )
+        end = next((at[k[-1]] for k in kinds if k and at[k[-1]] > least), floor(limit))
+        if put(start, end):
+            last = out[-1][0]
+        following = floor(end - overlap)
+        start = end if following <= start or following <= last else following
+    put(start, n)
+    return out
+
+
+def brute_cut(text, most):
+    """The bisection to match, over code points: the step is by bytes and ends where it lands behind the lower bound."""
+    at = [0]
+    for c in text:
+        at.append(at[-1] + len(c.encode()))
+    if len(text.split()) <= most:
+        return text
+    low, high = 0, len(at) - 1
+    while low < high:
+        mid = max(k for k in range(len(at)) if at[k] <= (at[low] + at[high] + 1) // 2)
+        if mid <= low:
+            break
+        if len(text[: at.index(at[mid])].split()) <= most:
+            low = mid
+        else:
+            high = max(k for k in range(len(at)) if at[k] <= at[mid] - 1)
+    return text[:low]
+
+
+def test_multibyte_documents(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    alphabet = ["é", "ü", "日本", "🙂", "word", "straße", " ", " ", " ", "\n", "\n\n", ". ", "! ", "\t", "ñ"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(1, 1500))) for _ in range(40)] + ["日" * 1000, "é" * 512, "é" * 513, "🙂 " * 30, "", "  \n", "x" * 3000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for sf in (str(tmp_path), SF):
+        docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+        assert sum(t is not None and not t.isascii() for _, t in docs) > 30
+        cut = {x.doc_id: x.text for x in plans.queries()["token_truncate_words_full"](spark, sf).collect()}
+        assert cut == {i: None if t is None else brute_cut(t, 10).rstrip(" ") for i, t in docs}
+        few = [(i, t) for i, t in docs if t is not None and len(t) < 6000]
+        for name, overlap in (("split_bytes_full", 0), ("split_full", 128)):
+            got = Counter((x.doc_id, x.ordinal, x.start, x.end, x.text) for x in plans.queries()[name](spark, sf).collect())
+            assert {k[0] for k in got} == {i for i, t in docs if t and t.strip()}
+            want = Counter((i, k, a, b, t.encode()[a:b].decode()) for i, t in few for k, (a, b) in enumerate(brute_spans(t, 1024, overlap)))
+            ids = {i for i, _ in few}
+            assert Counter({k: n for k, n in got.items() if k[0] in ids}) == want
