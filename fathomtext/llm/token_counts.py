@@ -90,3 +90,15 @@ def count_tokens(docs: DataFrame, path: str, cache: DataFrame | None = None, lim
     rows = own.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest")
     out = rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
     return out, appended
+
+
+def count_through(docs: DataFrame, path: str, cache_path: str, limit: int = 4096, normalise: Callable | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Counts as of count_tokens, through the cache in the folder cache_path: it is read, only texts without a count
+    are encoded, and their counts are appended to it. The folder is made where there is none; one writer at a time
+    is best (two may append the same digest, which is read once)."""
+    spark = docs.sparkSession
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)  # its files are those of now: later appends aren't seen
+    counts, appended = count_tokens(docs, path, stored, limit, normalise, id_col, text_col)
+    appended.write.mode("append").parquet(cache_path)
+    return counts

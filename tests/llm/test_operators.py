@@ -285,6 +285,30 @@ def test_op9_counts(spark, odd, nothing):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == model.encode(texts)
 
 
+def test_op9_cache_folder(spark, odd, nothing, tmp_path):
+    import public_tokenizers
+
+    path, folder = public_tokenizers.path("piece_bpe_32k.model"), f"{tmp_path}/cache"
+    want = key(token_counts.count_tokens(odd, path)[0].collect())
+    texts = {r.text or "" for r in odd.collect()}
+    part = odd.where("doc_id % 2 = 0")
+    first = {r.text or "" for r in part.collect()}
+
+    def stored():
+        return spark.read.parquet(folder).count()
+
+    assert token_counts.count_through(nothing, path, folder).count() == 0 and stored() == 0
+    token_counts.count_through(part, path, folder).collect()
+    assert stored() == len(first) < len(texts)
+    counts = token_counts.count_through(odd, path, folder)
+    assert key(counts.collect()) == want and stored() == len(texts)
+    again = token_counts.count_through(odd, path, folder)
+    assert key(again.collect()) == want and stored() == len(texts)  # nothing was left to encode
+    assert key(counts.collect()) == want  # an answer holds after later appends
+    token_counts.count_through(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), folder).collect()
+    assert stored() == 2 * len(texts)  # another tokenizer has counts of its own
+
+
 def near(rows, k=4, percent=80):
     sets = []
     for _, t in rows:
