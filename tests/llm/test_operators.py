@@ -350,6 +350,40 @@ def test_op10_groups(spark, odd, nothing):
     assert again.where("NOT kept").count() == 0 and again.select("root").distinct().count() == again.count()
 
 
+def test_op10_blocks_of_a_family(spark, monkeypatch):
+    """Edited copies around the limit: their links are those of brute force, and the kernels' rows stay few."""
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 9999)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        own = base[:]
+        for x in r.sample(range(150), r.randint(3, 6)):
+            own[x] = f"e{i}_{x}"
+        rows.append((i, " ".join(own)))
+    want = key(near(rows))
+    assert 3 < len({r[2] for r in want}) < 118
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = {}
+    keep = near_dups.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dups, "keep", counted)
+    monkeypatch.setattr(near_dups, "BLOCK_ROWS", 8)
+    cols = ("doc_id", "n_shingles", "component_id", "kept")
+    assert key(near_dups.near_duplicates(docs, k=4).select(*cols).collect()) == want
+    assert made["blocks"] > 20 and made["more"] < made["apart"] < 120 * 42  # links only, however many pairs there are
+
+
+def test_op10_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, "x"), (2, "a b c d e f", 3, 4, "y"), (3, None, 5, 6, "z")], "doc_id bigint, text string, __rid int, n int, row string")
+    left = near_dups.keep_one(docs)
+    assert left.columns == docs.columns and key(left.collect()) == key([(1, "a b c d e f", 1, 2, "x"), (3, None, 5, 6, "z")])
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
