@@ -297,8 +297,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     # equal texts meet before the shuffle; one text of each class with company stays
     company = keep(central.select("node").join(classes.select("node", "rid"), "node"), "company")
-    texts = own.where("text IS NOT NULL").join(company, "rid").groupBy("node").agg(F.first("text").alias("text"))
-    texts = keep(texts, "texts")
+    texts = own.where("text IS NOT NULL").groupBy("rid").agg(F.first("text").alias("text"))
+    texts = keep(texts.join(company, "rid").select("node", "text"), "texts")
     drop(central, company)
 
     stars = shared.where("node <> p").selectExpr("least(p, node) AS a", "greatest(p, node) AS b").distinct()
