@@ -44,7 +44,7 @@ def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(_table(spark, sf_dir, "documents"), columns=["doc_id"])
+    m = mixing.mix(_table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
@@ -104,17 +104,23 @@ FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest
 """
 
 OP5 = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, (('0x' || substr(md5(concat_ws('|', '7', coalesce(doc_id::VARCHAR, 'null'), md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM s0),
 s2 AS (SELECT *, cap / weight AS ratio FROM s1),
 s3 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s2),
 s AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, ratio) FROM s3 WHERE level <= ratio), (SELECT max(ratio) FROM s3)) * weight) AS target FROM s3),
-c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS copies, (('0x' || substr(md5(concat_ws('|', '7', coalesce(doc_id::VARCHAR, 'null'), size)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
-q AS (SELECT *, floor(copies) AS whole, copies - floor(copies) AS part, target - floor(copies) * source_size AS need FROM c),
-k AS (SELECT *, CASE WHEN part > 0 AND part < 1 THEN (u / (1 - u)) / (part / (1 - part)) END AS o FROM q),
-w AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(o / (1 + o) * 281474976710656.0::DOUBLE), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM k WHERE o IS NOT NULL UNION ALL SELECT *, NULL FROM k WHERE o IS NULL)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN upto <= need OR upto - need < need - (upto - size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM w
+c0 AS (SELECT source, length(bin(size)) AS bits, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+c1 AS (SELECT c0.*, target, 2.0::DOUBLE / bits AS ratio, (target - coalesce(sum(words * 2.0::DOUBLE) OVER w, 0)) / sum(words * bits::DOUBLE) OVER v AS level FROM c0 JOIN s ON c0.source IS NOT DISTINCT FROM s.source
+  WINDOW w AS (PARTITION BY c0.source ORDER BY bits DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY c0.source ORDER BY bits DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c2 AS (SELECT source, coalesce(arg_max(level, bits) FILTER (level <= ratio), max(ratio)) AS level FROM c1 GROUP BY source),
+c3 AS (SELECT c0.*, least(2.0::DOUBLE, level * bits) AS copies FROM c0 JOIN c2 ON c0.source IS NOT DISTINCT FROM c2.source),
+n AS (SELECT c3.source, any_value(target) - sum(floor(copies) * words) AS need FROM c3 JOIN s ON c3.source IS NOT DISTINCT FROM s.source GROUP BY c3.source),
+q AS (SELECT d.*, floor(copies) AS whole, copies - floor(copies) AS part, need FROM d JOIN c3 ON d.source IS NOT DISTINCT FROM c3.source AND length(bin(size)) = bits JOIN n ON d.source IS NOT DISTINCT FROM n.source WHERE size > 0),
+k AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS o FROM q),
+w AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(o / (1 + o) * 281474976710656.0::DOUBLE), doc_id, u ROWS UNBOUNDED PRECEDING) AS upto FROM k WHERE o IS NOT NULL UNION ALL SELECT *, NULL FROM k WHERE o IS NULL),
+t AS (SELECT doc_id, source, size, (size * (whole + CASE WHEN upto < need + size / 2.0::DOUBLE THEN 1 ELSE 0 END))::BIGINT AS taken FROM w UNION ALL SELECT doc_id, source, 0, 0 FROM d WHERE size = 0)
+SELECT doc_id, size, source_size, target, taken FROM t JOIN s ON t.source IS NOT DISTINCT FROM s.source
 """
 
 OP7 = r"""
