@@ -7,11 +7,14 @@ slot of a number can be computed, and counts of shards differ by one at most.
 
 Only narrow keys travel. Equal keys are counted before the shuffle and numbered as a run,
 so repeated rows never meet in one task; digest prefixes make 4096 even buckets whose
-counts (at most 4096 rows) give the buckets' first numbers.
+counts (at most 4096 rows) give the buckets' first numbers. ``sharded_rows`` gives the rows
+themselves with their places: texts are shuffled once, equal rows folded before that.
 
 Defined cases: a null id or text has its own digest (size 1, checksum of no bytes); equal
 rows get the numbers of one run, which of them gets which doesn't show; an empty table
-gives an empty result. Nothing but the id and the text is looked at.
+gives an empty result. Nothing but the id and the text is looked at; other columns only
+tell versions of one id and text apart in ``sharded_rows``, where a column of docs that is
+called like one of the result's is left out.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomtext.llm._spark import keep
+from fathomtext.llm.mixing import unfold
+
 ROUNDS = 6
 WALK = 64
-RUN = 1 << 16
+PLACED = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
 def _round_value(seed: int, i: Column, half: Column) -> Column:
@@ -50,29 +56,49 @@ def permute(x: Column, n: Column, a: Column, b: Column, seed: int) -> Column:
     return F.when(out < n, out).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("bigint"))
 
 
+def _size_and_sum(text: Column) -> list[Column]:
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    return [(F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32")]
+
+
+def _digest() -> Column:
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32"))
+
+
 def keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
+    return docs.select(F.col(id_col).alias("doc_id"), *_size_and_sum(F.col(text_col)))
 
 
 def number_rows(k: DataFrame) -> DataFrame:
-    """Distinct rows of keys with first (their first global number), n (copies) and total."""
-    g = k.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
-    g = g.withColumn("h", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32"))).withColumn("bucket", F.substring("h", 1, 3))
+    """Distinct rows of k (doc_id, size, text_crc32 and any more that tell rows apart) with h (their digest), first (their first global number), n (copies) and total."""
+    g = k.groupBy(*k.columns).agg(F.count("*").alias("n"))
+    g = g.withColumn("h", _digest()).withColumn("bucket", F.substring("h", 1, 3))
     counts = g.groupBy("bucket").agg(F.sum("n").alias("c"))  # at most 4096 rows
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("bucket", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"), F.sum("c").over(Window.partitionBy()).alias("total"))
-    w = Window.partitionBy("bucket").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("bucket").orderBy("h", *k.columns).rowsBetween(Window.unboundedPreceding, -1)
     return g.join(F.broadcast(counts), "bucket").withColumn("first", F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
-def feistel_shards(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number, place for every row."""
-    g = number_rows(keys(docs, id_col, text_col))
-    # a run of copies is unfolded in two steps, so no array is longer than n / RUN or RUN
-    g = g.withColumn("start", F.explode(F.expr(f"sequence(0L, n - 1, {RUN}L)")))
-    g = g.withColumn("copy", F.explode(F.expr(f"sequence(start, least(start + {RUN - 1}, n - 1))")))
-    g = g.withColumn("row_number", F.col("first") + F.col("copy"))
+def _placed(g: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Numbered rows unfolded, with row_number, place and the columns of PLACED."""
+    g = unfold(g, "n").withColumn("row_number", F.col("first") + F.col("copy"))
     g = g.withColumn("a", F.ceil(F.sqrt(F.col("total"))).cast("bigint")).withColumn("b", F.ceil(F.col("total") / F.col("a")).cast("bigint"))
     g = g.withColumn("place", permute(F.col("row_number"), F.col("total"), F.col("a"), F.col("b"), seed))
-    return g.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("place") / shards).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number", "place")
+    return g.withColumn("law", F.lit("rows")).withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("place") / shards).cast("bigint")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def feistel_shards(docs: DataFrame, shards: int = 8, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number, place for every row."""
+    return _placed(number_rows(keys(docs, id_col, text_col)), shards, seed).select("doc_id", *PLACED, "row_number", "place")
+
+
+def sharded_rows(docs: DataFrame, shards: int = 8, seed: int = 20240229) -> DataFrame:
+    """The rows of docs, all columns, each with size, text_crc32, law, shard, slot and grown_shard."""
+    whole = docs.select(F.struct(*docs.columns).alias("row"))
+    whole = whole.select(F.col("row.doc_id").alias("doc_id"), *_size_and_sum(F.col("row.text")), F.xxhash64("row").alias("version"), "row")
+    numbered = keep(number_rows(whole.drop("row")), "numbered").select("h", "version", "size", "text_crc32", "n", "first", "total")
+    # a digest and the version name a row, so that the fold and the join share one shuffle of the texts
+    folded = whole.withColumn("h", _digest()).groupBy("h", "version").agg(F.first("row").alias("row"))
+    placed = _placed(folded.join(numbered, ["h", "version"]), shards, seed)
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in PLACED), *PLACED)

@@ -134,7 +134,10 @@ def test_op3_shards(spark, odd, nothing):
     assert all(sorted(v) == list(range(len(v))) for v in per.values()) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
     assert key([(r.doc_id, r["size"], r.text_crc32) for r in rows]) == key([(r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect()])
     assert key(sharding.feistel_shards(odd.repartition(7)).collect()) == key(rows)
-    assert sharding.feistel_shards(nothing).count() == 0
+    assert sharding.feistel_shards(nothing).count() == 0 and sharding.sharded_rows(nothing).count() == 0
+    whole = sharding.sharded_rows(odd.union(odd)).collect()
+    assert key([(r.doc_id, r.text, r.lang, r.n_chars) for r in whole]) == key(odd.union(odd).select("doc_id", "text", "lang", "n_chars").collect())
+    assert sorted(r.slot * 8 + r.shard for r in whole) == list(range(2 * n))
     for n in (1, 2, 3, 7, 100):
         assert sorted(r.place for r in sharding.feistel_shards(spark.range(n).selectExpr("id AS doc_id", "'t' AS text")).collect()) == list(range(n))
 
@@ -167,7 +170,7 @@ def test_op5_mix(spark, odd, nothing):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(r.times in (0, 1, 2) for r in rows)
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_rows(nothing).columns == odd.columns
-    assert key(mixing.mix(odd).drop("row").collect()) == key([r[:6] for r in rows])
+    assert key(mixing.mix(odd.repartition(7)).collect()) == key(rows)  # on any layout
     again = mixing.mixed_rows(odd)
     assert again.columns == odd.columns and again.count() == sum(r.times for r in rows)
     many = spark.range(4000).selectExpr("1L AS doc_id", "'one two three' AS text", "if(id % 2 = 0, 'a', 'b') AS source")
@@ -183,6 +186,32 @@ def test_op5_mix(spark, odd, nothing):
     assert math.isclose(sum(t for _, t in sizes.values()), 1.5 * total, rel_tol=1e-9) and all(t <= 2 * s + 1e-6 for s, t in sizes.values())
 
 
+def test_op5_inclusion_odds(spark):
+    """Longer documents are likelier, the words come to the target, and the draw is that of a sorted Pareto order."""
+    r = random.Random(1)
+    sizes = [r.choice([3, 40, 500]) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "ab"[i % 2]) for i, n in enumerate(sizes)], "doc_id bigint, text string, source string")
+    rows = mixing.mix(docs, share=0.6, weights=(1,)).collect()
+    for s in "ab":
+        own = [x for x in rows if x.source == s]
+        assert abs(sum(x.times * x["size"] for x in own) - own[0].target) <= 500
+        means = [np.mean([x.times for x in own if x["size"] == n]) for n in (3, 40, 500)]
+        bits = [len(bin(n)) - 2 for n in (3, 40, 500)]
+        assert means[0] < means[1] < means[2] and all(abs(m / means[2] - b / bits[2]) < 0.1 for m, b in zip(means, bits))
+        level = own[0].target / sum(x["size"] * (len(bin(x["size"])) - 2) for x in own)
+        words = " ".join(["w"] * own[0]["size"])
+
+        def rank(x):
+            text = " ".join(["w"] * x["size"])
+            d = hashlib.md5(f"7|{x.doc_id}|{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
+            u, p = (int(d[:13], 16) + 0.5) / 2**52, level * (len(bin(x["size"])) - 2)
+            return (u / (1 - u)) / (p / (1 - p))
+
+        order = sorted(own, key=rank)
+        taken = [x.times for x in order]
+        assert words and taken == sorted(taken, reverse=True) and 0 < sum(taken) < len(taken)
+
+
 def luhn(s):
     return sum((lambda v: v * 2 - 9 if i % 2 and v > 4 else v * 2 if i % 2 else v)(int(c)) for i, c in enumerate(reversed(s))) % 10 == 0
 
@@ -258,12 +287,33 @@ def test_op8_leaks(spark, odd, nothing, monkeypatch):
     assert key(decontaminate.report(odd, bench).collect()) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)  # more blocks, same answer
     assert key(decontaminate.report(odd, bench).collect()) == want
+    cleaned = key(decontaminate.clean(odd, bench).collect())
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 1)  # a pass for each block, same answer
+    assert len(list(decontaminate._passes(bench, 13))) > 2
+    assert key(decontaminate.report(odd, bench).collect()) == want and key(decontaminate.clean(odd, bench).collect()) == cleaned
     assert decontaminate.report(nothing, bench).count() == 0
     assert decontaminate.report(odd, spark.createDataFrame([], "item_id bigint, text string")).where("n_hit > 0").count() == 0
     left = decontaminate.clean(odd, bench)
     assert left.columns == odd.columns and decontaminate.report(left, bench).where("n_hit > 0 AND n_words > 40").count() == 0
 
 
+def test_op8_clashing_columns_and_memory(spark):
+    text = "zero " + " ".join(f"w{i}" for i in range(13)) + " end" * 400
+    docs = spark.createDataFrame([(1, text, "no number", 1, 2), (2, "clean", None, 3, 4)], "doc_id bigint, text string, n_chars string, spots int, row int")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(13)))], "item_id bigint, text string")
+    left = {r.doc_id: r for r in decontaminate.clean(docs, bench).collect()}
+    assert left[1].text == "zero  " + " ".join(["end"] * 400) and left[1].n_chars == "no number" and left[2].spots == 3 and left[2].row == 4
+    r = random.Random(6)
+    items = [(str(i), " ".join(f"v{r.randint(0, 30000)}" for _ in range(200))) for i in range(800)]
+    import tracemalloc
+
+    tracemalloc.start()
+    automaton = decontaminate.Automaton(items, 13)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size / len(automaton.length) < 250  # bytes a state, item names and branches included
+
+
 def test_op9_counts(spark, odd, nothing):
     import public_tokenizers
     import sentencepiece
@@ -394,4 +444,17 @@ def test_pipeline(spark):
     n = docs.count()
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(got) == n and Counter(r.shard for r in got).most_common()[0][1] - n // 8 <= 1
+    assert key([tuple(r[c] for c in docs.columns) for r in got]) == key(docs.collect())  # texts and all other columns are there
+    assert key([(r.doc_id, r.shard, r.slot) for r in got]) == key(sharding.feistel_shards(docs).select("doc_id", "shard", "slot").collect())
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(got)
+
+
+def test_pipeline_odd_and_empty(spark, odd, nothing):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd, nothing):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "shards":
+                assert out.columns == odd.columns, name
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert set(sharding.PLACED) | set(odd.columns) == set(docs.columns) and docs.where("text IS NULL").count() == 0
