@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality, near copies, benchmark leaks, mix, shards."""
+"""A training corpus from raw documents: quality, near copies, benchmark leaks, mix, shards.
+
+Each stage gives the defined cases of the operator that it calls. In short: a null or empty
+text breaks the quality rules and goes there; repeated rows are one group of near copies, so
+one of them stays; null sources are a source of their own; other columns, whatever their
+names, are carried; an empty table gives an empty table of the same columns at every stage.
+"""
 
 from __future__ import annotations
 
@@ -29,8 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row."""
-    return sharding.feistel_shards(docs)
+    """All rows with their columns, and size, text_crc32, law, shard, slot, grown_shard beside them."""
+    return sharding.sharded_rows(docs)
 
 
 STAGES = [
