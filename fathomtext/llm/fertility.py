@@ -1,25 +1,28 @@
 """Quality rules by tokeniser fertility.
 
-A public byte-level vocabulary made for many languages cuts each text; text that reads as
-natural language of a script gives a steady number of characters per token, few tokens
-that are fragments of a character (the byte fallback of such a vocabulary), and a token
-distribution whose entropy is high for its length. Bands per script say what is usual;
-a text outside its script's band on any measure is rejected. Counts of words, symbols,
-repeated lines and repeated windows stand beside them (base rules).
+Two public vocabularies cut each text. A byte-level one made for many languages gives
+characters per token and the entropy of the tokens; one of pieces, which writes a character
+that it doesn't know as its bytes, gives the share of tokens that are such a byte fallback
+(of characters beyond ASCII; line ends are bytes there, too, and say nothing). Text that
+reads as natural language of a script gives a steady number of characters per token, little
+byte fallback, and a token distribution whose entropy is high for its length. Bands per
+script say what is usual; a text outside its script's band on any measure is rejected.
+Counts of words, symbols, repeated lines and repeated windows stand beside them (base rules).
 
 Bands are fixed per script, not fitted to the table at hand, so a document's verdict
-depends on that document and the vocabulary alone.
+depends on that document and the vocabularies alone.
 
 Defined cases: null or empty text has zeros everywhere and fails the base rule on words;
-repeated rows are judged each on its own; nothing else of a row is looked at.
+repeated rows are judged each on its own; other columns, whatever their names, are only
+carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomtext.llm._spark import lean
 from fathomtext.llm._words import Words, mix, word_slices
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"  # byte-level, with public_tokenizers.PATTERN
+PIECES = "piece_bpe_32k.model"  # pieces with byte fallback
 
 
 #: fixed values: numbers of tokens that entropy floors are given for, each twice the one before
@@ -38,7 +43,7 @@ AT = [32, 64, 128, 256, 512, 1024, 2048, 4096]
 
 @dataclass(frozen=True)
 class Band:
-    """What is usual: characters a token (least, most), most fragment share, least entropy.
+    """What is usual: characters a token (least, most), most byte fallback, least entropy.
 
     The entropy is in parts of its largest value at the text's length, log2(min(tokens, 1024)). These parts still
     fall with length in clean prose, so least_entropy has a floor for each of AT tokens, straight between them in
@@ -46,7 +51,7 @@ class Band:
 
     least_chars: float
     most_chars: float
-    most_fragments: float
+    most_fallback: float
     least_entropy: float | tuple[float, ...]
 
     def floors(self) -> list[float]:
@@ -55,14 +60,14 @@ class Band:
 
 #: fixed values: by script of most letters; "other" for the rest, "none" for texts without letters
 BANDS = {
-    "latin": Band(2.05, 8.0, 0.10, (0.78, 0.78, 0.76, 0.725, 0.685, 0.64, 0.64, 0.65)),
-    "cyrillic": Band(1.0, 8.0, 0.10, 0.45),
-    "greek": Band(0.8, 8.0, 0.15, 0.45),
-    "arabic": Band(0.8, 8.0, 0.15, 0.45),
-    "hebrew": Band(0.7, 8.0, 0.20, 0.45),
-    "cjk": Band(0.4, 4.0, 0.70, 0.45),
+    "latin": Band(2.05, 8.0, 0.05, (0.78, 0.78, 0.76, 0.725, 0.685, 0.64, 0.64, 0.65)),
+    "cyrillic": Band(1.0, 8.0, 0.05, 0.45),
+    "greek": Band(0.8, 8.0, 0.10, 0.45),
+    "arabic": Band(0.8, 8.0, 0.10, 0.45),
+    "hebrew": Band(0.7, 8.0, 0.15, 0.45),
+    "cjk": Band(0.4, 4.0, 0.50, 0.45),
     "other": Band(0.25, 8.0, 0.95, 0.40),
-    "none": Band(0.25, 8.0, 0.50, 0.45),
+    "none": Band(0.25, 8.0, 0.60, 0.45),
 }
 SCRIPTS = list(BANDS)
 #: fixed values: first and last code point of the letter ranges
@@ -96,19 +101,18 @@ def _lead_table() -> np.ndarray:
     return table
 
 
-def _encoding(path: str):
+@lru_cache(maxsize=2)
+def _encoders(byte_level: str, pieces: str):
+    """The byte-level encoding, the piece model, and which of its tokens are bytes of characters beyond ASCII; read once a worker."""
     import public_tokenizers
+    import sentencepiece
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(byte_level, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fragment = np.zeros(max(ranks.values()) + 1, bool)
-    for piece, i in ranks.items():
-        try:
-            piece.decode()
-        except UnicodeDecodeError:
-            fragment[i] = True
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), fragment
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces)
+    fallback = np.array([model.is_byte(i) and int(model.id_to_piece(i)[3:5], 16) >= 0x80 for i in range(model.get_piece_size())], bool)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), model, fallback
 
 
 def script_of(w: Words, table: np.ndarray) -> np.ndarray:
@@ -150,113 +154,114 @@ def base_counts(w: Words) -> dict[str, np.ndarray]:
     return {"n_words": w.counts, "word_chars": by_row(inside & _FIRST[w.data]), "n_symbols": by_row(_SYMBOL[w.data]), "n_dup_lines": dup, "n_repeat_words": w.per_row(w.covered(at[twice], 5))}
 
 
-def token_measures(ids: list[list[int]], fragment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, fragment share and relative entropy of each text."""
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([len(x) for x in ids], np.int64)
-    flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+    return n, np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+
+
+def flagged_share(ids: list[list[int]], flags: np.ndarray) -> np.ndarray:
+    """Share of each text's tokens that are flagged."""
+    n, flat = _flat(ids)
+    total = np.concatenate([[0], np.cumsum(flags[flat], dtype=np.int64)])
     upto = np.concatenate([[0], np.cumsum(n)])
-    odd = np.concatenate([[0], np.cumsum(fragment[flat], dtype=np.int64)])
-    parts = odd[upto[1:]] - odd[upto[:-1]]
-    key = np.sort(np.repeat(np.arange(len(n)), n) * len(fragment) + flat)
+    return (total[upto[1:]] - total[upto[:-1]]) / np.maximum(n, 1)
+
+
+def token_entropy(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text, and the entropy of their distribution as a part of its largest value."""
+    n, flat = _flat(ids)
+    width = int(flat.max(initial=0)) + 1
+    key = np.sort(np.repeat(np.arange(len(n)), n) * width + flat)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     c = np.diff(np.append(first, len(key))).astype(float)
-    r = key[first] // len(fragment)
+    r = key[first] // width
     total = np.maximum(n, 1)
     entropy = np.bincount(r, weights=-(c / total[r]) * np.log2(c / total[r]), minlength=len(n))
-    most = np.log2(np.clip(n, 2, 1024))
-    return n, parts / total, np.where(n > 1, entropy / most, 0.0)
+    return n, np.where(n > 1, entropy / np.log2(np.clip(n, 2, 1024)), 0.0)
 
 
-def entropy_floor(script: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Least entropy of texts of n tokens, by their index in SCRIPTS; verdicts() has the same in Columns."""
-    floors = np.array([b.floors() for b in BANDS.values()])
+def entropy_floor(script: np.ndarray, n: np.ndarray, bands: dict[str, Band] = BANDS) -> np.ndarray:
+    """Least entropy of texts of n tokens, by their index in SCRIPTS."""
+    floors = np.array([bands[name].floors() for name in SCRIPTS])
     x = np.log2(np.clip(n, AT[0], AT[-1])) - np.log2(AT[0])
     i = np.minimum(x.astype(np.int64), len(AT) - 2)
     return floors[script, i] + (x - i) * (floors[script, i + 1] - floors[script, i])
 
 
-def _measure(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, fragment = _encoding(path)
-        table = _lead_table()
-        names = np.array(SCRIPTS)
-        for batch in batches:
-            column = batch.column("text")
-            for a, b, w in word_slices(column):
-                base = base_counts(w)
-                texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
-                n, share, entropy = token_measures([encoding.encode_ordinary(x) for x in texts], fragment)
-                chars = np.array([len(x) for x in texts])
-                cols = {k: pa.array(v.astype(np.int64)) for k, v in base.items()}
-                cols |= {"n_tokens": pa.array(n), "chars_per_token": pa.array(chars / np.maximum(n, 1)), "fragment_share": pa.array(share), "token_entropy": pa.array(entropy), "script": pa.array(names[script_of(w, table)].tolist(), pa.string())}
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *cols.values()], names=["doc_id", *cols])
+def broken_bands(m: dict[str, np.ndarray], bands: dict[str, Band] = BANDS) -> dict[str, np.ndarray]:
+    """By measure, which texts are outside their script's band."""
+    limits = np.array([[b.least_chars, b.most_chars, b.most_fallback] for b in (bands[name] for name in SCRIPTS)])[m["script"]]
+    n = m["n_tokens"]
+    return {
+        "chars_low": m["chars_per_token"] < limits[:, 0] - 2 / np.sqrt(np.maximum(n, 1)),
+        "chars_high": m["chars_per_token"] > limits[:, 1],
+        "fallback": m["fallback_share"] > limits[:, 2],
+        "entropy": m["token_entropy"] < entropy_floor(m["script"], n, bands),
+    }
+
+
+def base_failed(m: dict[str, np.ndarray]) -> np.ndarray:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+
+
+def fertility(texts: list[str], w: Words, paths: tuple[str, str], table: np.ndarray) -> dict[str, np.ndarray]:
+    """The measures of the two vocabularies, and the script."""
+    encoding, model, fallback = _encoders(*paths)
+    n, entropy = token_entropy([encoding.encode_ordinary(x) for x in texts])
+    chars = np.array([len(x) for x in texts], np.int64)
+    pieces = model.encode(texts, num_threads=1)
+    return {"n_tokens": n, "chars_per_token": chars / np.maximum(n, 1), "n_pieces": np.array([len(x) for x in pieces], np.int64), "fallback_share": flagged_share(pieces, fallback), "token_entropy": entropy, "script": script_of(w, table)}
 
-    return run
 
+def vocabularies() -> tuple[str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES)
+
+
+FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, n_pieces bigint, fallback_share double, token_entropy double, script string, base_failed boolean, broken_bands string, kept boolean"
 
-def quality(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures, base_failed, the rules a document breaks and kept, for each row of docs; one scan, no shuffle."""
-    if vocabulary is None:
-        import public_tokenizers
 
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    bands = bands or BANDS
+def quality(docs: DataFrame, paths: tuple[str, str] | None = None, bands: dict[str, Band] = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Measures, base_failed, the bands a document breaks and kept, for each row of docs; one scan, no shuffle.
+
+    paths: a byte-level vocabulary and a piece model with byte fallback."""
+    paths = paths or vocabularies()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    m = own.mapInArrow(_measure(vocabulary), f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, fragment_share double, token_entropy double, script string")
-    return verdicts(m, bands)
-
-
-def verdicts(m: DataFrame, bands: dict[str, Band]) -> DataFrame:
-    def of(field: str):
-        out = F.lit(getattr(bands["other"], field))
-        for name, band in bands.items():
-            out = F.when(F.col("script") == name, getattr(band, field)).otherwise(out)
-        return out
-
-    floors = F.array(*map(F.lit, bands["other"].floors()))
-    for name, band in bands.items():
-        floors = F.when(F.col("script") == name, F.array(*map(F.lit, band.floors()))).otherwise(floors)
-    x = F.log2(F.least(F.greatest("n_tokens", F.lit(AT[0])), F.lit(AT[-1]))) - math.log2(AT[0])
-    i = F.least(F.floor(x).cast("int"), F.lit(len(AT) - 2))
-    floor = F.get(floors, i) + (x - i) * (F.get(floors, i + 1) - F.get(floors, i))
-    broken = {
-        "chars_low": F.col("chars_per_token") < of("least_chars") - 2 / F.sqrt(F.greatest("n_tokens", F.lit(1))),
-        "chars_high": F.col("chars_per_token") > of("most_chars"),
-        "fragments": F.col("fragment_share") > of("most_fragments"),
-        "entropy": F.col("token_entropy") < floor,
-    }
-    m = m.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    m = m.withColumn("broken_bands", F.concat_ws(",", *(F.when(v, F.lit(k)) for k, v in broken.items())))
-    return m.withColumn("kept", ~F.col("base_failed") & (F.col("broken_bands") == ""))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, names = _lead_table(), np.array(SCRIPTS)
+        for batch in batches:
+            column = batch.column("text")
+            for a, b, w in word_slices(column):
+                m = base_counts(w) | fertility([x or "" for x in column.slice(a, b - a).to_pylist()], w, paths, table)
+                failed, broken = base_failed(m), broken_bands(m, bands)
+                said = [",".join(k for k, v in broken.items() if v[i]) for i in range(b - a)]
+                m |= {"script": names[m["script"]].tolist(), "base_failed": failed, "broken_bands": said, "kept": ~failed & np.array([not x for x in said], bool)}
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(v) if isinstance(v, np.ndarray) else pa.array(v, pa.string()) for v in m.values())], names=["doc_id", *m])
+
+    return own.mapInArrow(lean(run), f"doc_id {kind}, {FIELDS}")
 
-def keep_good(docs: DataFrame) -> DataFrame:
+
+def keep_good(docs: DataFrame, paths: tuple[str, str] | None = None, bands: dict[str, Band] = BANDS) -> DataFrame:
     """The rows whose text passes, with all their columns.
 
     The verdict is a function of the text, taken in the scan that reads it: rows travel through
-    one Arrow stage whole, and nothing is shuffled or joined."""
-    import public_tokenizers
-
-    path = public_tokenizers.path(VOCABULARY)
-    names = docs.columns
-    place = names.index("text")
+    one Arrow stage whole, and nothing is shuffled or joined. Texts that break the base rules
+    aren't cut into tokens."""
+    paths = paths or vocabularies()
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, fragment = _encoding(path)
         table = _lead_table()
-        limits = np.array([[b.least_chars, b.most_chars, b.most_fragments] for b in BANDS.values()])
         for batch in batches:
             column = batch.column(place)
             for a, b, w in word_slices(column):
-                base = base_counts(w)
-                good = (base["n_words"] >= 10) & (100 * base["n_repeat_words"] <= 20 * base["n_words"])
-                texts = [x if g else "" for x, g in zip(column.slice(a, b - a).to_pylist(), good, strict=True)]
-                n, share, entropy = token_measures([encoding.encode_ordinary(x) for x in texts], fragment)
-                per = np.array([len(x) for x in texts]) / np.maximum(n, 1)
-                script = script_of(w, table)
-                band = limits[script]
-                good &= (per >= band[:, 0] - 2 / np.sqrt(np.maximum(n, 1))) & (per <= band[:, 1]) & (share <= band[:, 2]) & (entropy >= entropy_floor(script, n))
+                good = ~base_failed(base_counts(w))
+                m = fertility([x if g else "" for x, g in zip(column.slice(a, b - a).to_pylist(), good, strict=True)], w, paths, table)
+                for v in broken_bands(m, bands).values():
+                    good &= ~v
                 yield batch.slice(a, b - a).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -10,8 +10,10 @@ with map-side sums per (language, n-gram).
 Defined cases: a null text or one without letters is "und" with score 0; ties go to the
 language first in code point order; rows without a label teach nothing; repeated rows
 count as often as they occur; with no labelled text at all every text is "und".
-The profiles are broadcast: languages x PROFILE entries, whatever the corpus size, and
-the number of languages is checked against MOST_LANGUAGES.
+A combining mark counts in n-grams, but a text of marks without a letter is "und".
+Other columns aren't looked at; an empty table gives an empty result.
+The profiles go to the workers whole: languages x PROFILE numbers of 8 bytes, whatever
+the corpus size (3 MB for a thousand languages).
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomtext.llm._spark import lean
 from fathomtext.llm._words import slices, utf8
 
 PROFILE = 400
-MOST_LANGUAGES = 2000
 UND = "und"
 _SPACE = 32
 
 _fold = np.full(0x110000, _SPACE, np.uint32)
+_letter = np.zeros(0x110000, bool)
 _ready = False
 
 
@@ -46,6 +49,7 @@ def _table() -> np.ndarray:
             if unicodedata.category(x)[0] in "LM" and not 0xD800 <= c <= 0xDFFF:
                 low = x.lower()
                 _fold[c] = ord(low) if len(low) == 1 else c
+                _letter[_fold[c]] |= unicodedata.category(x)[0] == "L"
         _ready = True
     return _fold
 
@@ -97,14 +101,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Profiles from (text, lang): all rows are counted; at most size n-grams a language are collected."""
-    grams = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_counted, "lang string, gram bigint, n bigint")
+    grams = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(lean(_counted), "lang string, gram bigint, n bigint")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= size)
     profiles: dict[str, list[tuple[int, int]]] = {}
-    for row in top.limit(size * MOST_LANGUAGES + 1).toLocalIterator():
+    for row in top.toLocalIterator():
         profiles.setdefault(row.lang, []).append((row.r, row.gram))
-        if len(profiles) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return {k: np.array([g for _, g in sorted(profiles[k])], np.uint64) for k in sorted(profiles)}
 
 
@@ -119,7 +121,7 @@ class Ranker:
 
     def predict(self, text: str | None, table: np.ndarray) -> tuple[str, float]:
         codes = folded(text or "", table)
-        if not self.names or not (codes != _SPACE).any():
+        if not self.names or not _letter[codes].any():
             return UND, 0.0
         own = ranked(codes, self.size)
         at = np.searchsorted(self.grams, own)
@@ -141,7 +143,7 @@ def _predicted(profiles: dict[str, np.ndarray], size: int):
                 others = [part.column(n) for n in part.schema.names if n != "text"]
                 yield pa.RecordBatch.from_arrays([*others, pa.array([x for x, _ in got], pa.string()), pa.array([min(max(s, 0.0), 1.0) for _, s in got], pa.float64())], names=[*(n for n in part.schema.names if n != "text"), "lang_pred", "score"])
 
-    return run
+    return lean(run)
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", extra: dict | None = None, size: int = PROFILE) -> DataFrame:

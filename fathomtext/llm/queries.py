@@ -25,7 +25,7 @@ def op1_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = fertility.quality(_table(spark, sf_dir, "documents"))
-    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "fragment_share", "token_entropy", "script", "broken_bands")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "n_pieces", "fallback_share", "token_entropy", "script", "broken_bands")
 
 
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomtext.llm._spark import keep
+from fathomtext.llm._spark import keep, lean
 from fathomtext.llm._words import Words, mix, utf8, word_slices, words
 
 GRAM = 6
@@ -76,7 +76,7 @@ def _anchors(window: int):
                 row, _, _, anchor = segments(w, window)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), rid.slice(a, b - a).take(pa.array(row))], names=["anchor", "rid"])
 
-    return run
+    return lean(run)
 
 
 def _result(w: Words, i: int, removed: np.ndarray | None) -> tuple[int, int, str]:
@@ -125,7 +125,7 @@ def _ship(window: int):
                 at = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column("doc_id").take(at), batch.column("rid").take(at), pa.array((first - w.at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bodies, pa.binary()).cast(pa.string())], names=["anchor", "doc_id", "rid", "first", "n", "body"])
 
-    return run
+    return lean(run)
 
 
 def _spell(window: int):
@@ -146,7 +146,7 @@ def _spell(window: int):
                 rows = pa.array(row + a)
                 yield pa.RecordBatch.from_arrays([*cols, batch.column("doc_id").take(rows), batch.column("rid").take(rows), pa.array((first - w.at[row]).astype(np.int32))], names=["s1", "f", "s2", "g", "doc_id", "rid", "first"])
 
-    return run
+    return lean(run)
 
 
 def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ def _subtrees(window: int):
             if whole:
                 yield solve(whole[0])
 
-    return run
+    return lean(run)
 
 
 def _finish(window: int):
@@ -240,7 +240,7 @@ def _finish(window: int):
                 n, r, h = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(h, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return run
+    return lean(run)
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
     counted = keep(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "counted")
     shared = anchors.join(counted, "anchor").groupBy("rid").agg(F.collect_set(F.when(F.col("c") <= group, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("c") > group, F.col("anchor"))).alias("hot"))
     state = own.join(shared, "rid", "left").select("doc_id", "rid", "text", "anchors", "hot")
-    state = keep(state.mapInArrow(_settle, f"doc_id {kind}, rid bigint, anchors array<bigint>, hot array<bigint>, text string, n_words bigint, sha string"), "state")
+    state = keep(state.mapInArrow(lean(_settle), f"doc_id {kind}, rid bigint, anchors array<bigint>, hot array<bigint>, text string, n_words bigint, sha string"), "state")
     open_ = state.where("anchors IS NOT NULL")
 
     shipped = open_.where("size(anchors) > 0").select("doc_id", "rid", "anchors", "text").mapInArrow(_ship(window), f"anchor bigint, doc_id {kind}, rid bigint, first int, n int, body string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomtext.llm._spark import keep
+from fathomtext.llm._spark import keep, lean
 
 ROWS_AT_ONCE = 64
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
@@ -70,7 +70,7 @@ def _encode(path: str, version: str):
                 n = np.array(count(part.column("text").to_pylist()), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), part.column("digest"), pa.array(n)], names=["tokenizer", "digest", "n_tokens"])
 
-    return run
+    return lean(run)
 
 
 def count_tokens(docs: DataFrame, path: str, cache: DataFrame | None = None, limit: int = 4096, normalise: Callable | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

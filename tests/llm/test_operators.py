@@ -12,7 +12,6 @@ import numpy as np
 import pytest
 from fathomtext.llm import _words, decontaminate, fertility, language_id, mixing, near_dups, pii, sharding, substrings, token_counts, warc
 from fathomtext.llm import queries as corpus
-from fathomtext.llm._pieces import Pieces
 
 from tests.conftest import SF
 
@@ -85,6 +84,41 @@ def test_op1_language(spark, odd, nothing):
     assert {r.lang_pred for r in language_id.identify(odd, {}).collect()} == {"und"}
 
 
+def grams(text):
+    import unicodedata
+
+    folded = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] in "LM" else " " for c in text)
+    folded = re.sub(" +", " ", f" {folded} ")
+    return Counter(g for n in (1, 2, 3) for i in range(len(folded) - n + 1) if (g := folded[i : i + n]) != " ")
+
+
+def test_op1_against_brute_force(spark, odd):
+    """Counts, ranks and out-of-place sums in plain Python; ties of counts go by code points, ties of languages by name."""
+
+    def order(c):
+        return sorted(c, key=lambda g: (-c[g], len(g), g))[:400]
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    totals = defaultdict(Counter)
+    for r in rows:
+        if r.lang and r.text:
+            totals[r.lang] += grams(r.text)
+    places = {lang: {g: i for i, g in enumerate(order(c))} for lang, c in totals.items()}
+    tests = [(r.doc_id, r.text) for r in rows[:60]] + [(-1, "\u0301"), (-2, "12 %"), (-3, "é"), (-4, None), (-5, "der the"), (-6, "𝔘 中")]
+    want = []
+    for i, t in tests:
+        if not any(__import__("unicodedata").category(c)[0] == "L" for c in t or ""):
+            want.append((i, "und", 0.0))
+            continue
+        own = order(grams(t))
+        off = {lang: sum(abs(p[g] - j) if g in p else 400 for j, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(off), key=off.get)
+        want.append((i, best, round(1 - off[best] / (400 * len(own)), 9)))
+    got = language_id.identify(spark.createDataFrame(tests, "doc_id bigint, text string"), language_id.learn(docs)).collect()
+    assert key([(r.doc_id, r.lang_pred, round(r.score, 9)) for r in got]) == key(want)
+
+
 def test_op2_base_counts(spark, odd, nothing):
     def brute(text):
         t = text or ""
@@ -110,6 +144,44 @@ def test_op2_base_counts(spark, odd, nothing):
     assert not any(r.kept for r in q if r.quality == 0 and 5 * r.n_symbols > r.n_words * 10)
 
 
+def test_op2_against_brute_force(spark, odd):
+    """Tokens, byte fallback, entropy, script, bands and kept, one text at a time."""
+    import base64
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(x): int(n) for x, n in map(bytes.split, f)}
+    byte_level = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    scripts = {"latin": "[A-Za-zÀ-ɏ]", "cyrillic": "[Ѐ-ԯ]", "greek": "[Ͱ-Ͽ]", "cjk": "[぀-ヿ㐀-龜가-힣]", "other": "[\u0700-\u1dff\U00010000-\U0001ffff]"}
+    more = ["Привет, это обычный русский текст о погоде и о жизни в большом городе.", "ይህ ስለ አየር ሁኔታ ተራ ጽሑፍ ነው እና ሌላ ነገር የለም ይህ ነው ሁሉም", "这是 一个 关于 天气 和 生活 的 普通 中文 文本 没有 什么 特别 之处", "ቕ latin words with a few strange letters ቖ ኸ ዀ ጘ ቝ and so on ቘ", "12 34 56 78 90 12 34 56 78 90 11 22"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(80).unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(more)], "doc_id bigint, text string")).unionByName(odd.where("length(text) < 6000").select("doc_id", "text"))
+    rows = {(r.doc_id, r.n_tokens, r.n_pieces): r for r in fertility.quality(docs).collect()}
+    seen = set()
+    for i, t in docs.collect():
+        t = t or ""
+        ids, pieces = byte_level.encode_ordinary(t), model.encode(t)
+        r = rows[i, len(ids), len(pieces)]
+        back = sum(model.is_byte(x) and int(model.id_to_piece(x)[3:5], 16) > 127 for x in pieces) / max(len(pieces), 1)
+        n, c = len(ids), Counter(ids)
+        entropy = -sum(v / n * math.log2(v / n) for v in c.values()) / math.log2(min(max(n, 2), 1024)) if n > 1 else 0.0
+        counts = {k: len(re.findall(p, t)) for k, p in scripts.items()}
+        script = max(counts, key=counts.get) if any(counts.values()) else "none"
+        band = fertility.BANDS[script]
+        x = math.log2(min(max(n, 32), 4096)) - 5
+        j = min(int(x), 6)
+        floors = band.least_entropy if isinstance(band.least_entropy, tuple) else (band.least_entropy,) * 8
+        per = len(t) / max(n, 1)
+        broken = [k for k, v in (("chars_low", per < band.least_chars - 2 / math.sqrt(max(n, 1))), ("chars_high", per > band.most_chars), ("fallback", back > band.most_fallback), ("entropy", entropy < floors[j] + (x - j) * (floors[j + 1] - floors[j]))) if v]
+        assert (r.script, r.broken_bands, r.kept) == (script, ",".join(broken), not r.base_failed and not broken), t[:80]
+        assert math.isclose(r.fallback_share, back) and math.isclose(r.token_entropy, entropy, abs_tol=1e-12) and math.isclose(r.chars_per_token, per)
+        seen |= {*broken, script}
+    assert {"fallback", "entropy", "latin", "cyrillic", "cjk", "other", "none"} <= seen
+
+
 def test_op2_entropy_floor_by_length(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -328,11 +400,10 @@ def test_op9_counts(spark, odd, nothing):
     assert key(again.drop("digest").collect()) == want and more.count() == 0
     assert token_counts.count_tokens(nothing, path)[0].count() == 0
     r = random.Random(5)
-    alphabet = ["a", "the", " ", "  ", "\n", "▁", "</s>", "<s>", "<0x0A>", "é", "日本", "\t", "🙂", "\x00", "\r\n", "Ａ", "½"]
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(1500)]
-    pieces = Pieces(path)
-    ids, at = pieces.ids(texts)
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == model.encode(texts)
+    alphabet = ["a", "the", " ", "  ", "\n", "▁", "</s>", "<s>", "<0x0A>", "é", "日本", "\t", "🙂", "\r\n", "Ａ", "½"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(300)]
+    special = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert key(token_counts.count_tokens(special, path)[0].select("doc_id", "n_tokens").collect()) == key(enumerate(map(len, model.encode(texts))))
 
 
 def test_op9_cache_folder(spark, odd, nothing, tmp_path):
