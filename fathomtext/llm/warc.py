@@ -13,6 +13,9 @@ Defined cases: null html has an empty payload; a null page_id comes last; of rep
 and of equal page_ids, one record (smallest url, first copy) is the response and the others
 revisit it; a null url leaves the target line out; line ends inside a url are written
 percent-encoded; an empty table makes an empty archive; other columns aren't archived.
+
+A revisit names its response by the response's record id (WARC-Refers-To), so any reader can
+resolve it; the response's page_id stands in a field of its own beside that.
 """
 
 from __future__ import annotations
@@ -20,11 +23,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomtext.llm._spark import drop, keep
+from fathomtext.llm.mixing import unfold
+
 LEAST = 100
-RUN = 1 << 16
 DATE = "2024-02-29T00:00:00Z"
 
 
+def _urn(record: Column) -> Column:
+    return F.concat(F.lit("<urn:sha1:"), record, F.lit(">"))
+
+
+def _record(page_id: Column, url: Column, copy: Column) -> Column:
+    """A record's name: digest of its page, url, payload digest and copy number."""
+    return F.sha1(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("null")), F.coalesce(url, F.lit("")), "digest", copy.cast("string")))
+
+
 def _header(kind: Column) -> Column:
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
@@ -36,11 +50,11 @@ def _header(kind: Column) -> Column:
         F.concat(
             F.lit("WARC/1.1\r\n"),
             line("WARC-Type", kind),
-            line("WARC-Record-ID", F.concat(F.lit("<urn:sha1:"), "record", F.lit(">"))),
+            line("WARC-Record-ID", _urn(F.col("record"))),
             line("WARC-Date", F.lit(DATE)),
             F.coalesce(line("WARC-Target-URI", url), nothing),
             line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-            F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers").cast("string"), nothing), F.lit(">"))))).otherwise(nothing),
+            F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _urn(F.col("refers_record"))), F.coalesce(line("X-Refers-To-Page", F.col("refers").cast("string")), nothing))).otherwise(nothing),
             line("Content-Type", F.lit("text/html; charset=utf-8")),
             line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
             F.lit("\r\n"),
@@ -50,20 +64,21 @@ def _header(kind: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Archive the pages under ``path``: two passes over pages, one for payloads and one for headers."""
+    """Archive the pages under ``path``: one pass over pages for the payloads, one for a narrow table that headers are made from."""
     own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    own = own.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("bigint"))
+    own = own.withColumn("digest", F.sha2("payload", 256))
     own.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
     # equal rows are counted before the shuffle and unfolded after it
-    rows = own.groupBy("page_id", "url", "digest", "bytes").agg(F.count("*").alias("n"))
+    rows = keep(own.groupBy("page_id", "url", "digest", F.octet_length("payload").cast("bigint").alias("bytes")).agg(F.count("*").alias("n")), "records")
     order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"), F.col("url").isNull().alias("c"), F.col("url").alias("d"))
-    first = rows.groupBy("digest").agg(F.min(order).alias("m"))
-    rows = rows.join(first, "digest")
-    rows = rows.withColumn("start", F.explode(F.expr(f"sequence(0L, n - 1, {RUN}L)"))).withColumn("copy", F.explode(F.expr(f"sequence(start, least(start + {RUN - 1}, n - 1))")))
+    # both sides of the join are written tables, so Spark can split a digest that very many pages have
+    first = keep(rows.where(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min(order).alias("m")), "responses")
+    joined = unfold(rows.join(first, "digest", "left"), "n")
     response = (F.col("bytes") < LEAST) | ((F.col("copy") == 0) & (order == F.col("m")))
-    rows = rows.withColumn("record_type", F.when(response, "response").otherwise("revisit")).withColumn("refers", F.when(~response, F.col("m.b")))
-    rows = rows.withColumn("record", F.sha1(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.coalesce("url", F.lit("")), "digest", F.col("copy").cast("string"))))
-    rows.select("page_id", "copy", "digest", _header(F.col("record_type")).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    joined = joined.withColumn("record_type", F.when(response, "response").otherwise("revisit")).withColumn("refers", F.when(~response, F.col("m.b")))
+    joined = joined.withColumn("record", _record(F.col("page_id"), F.col("url"), F.col("copy"))).withColumn("refers_record", _record(F.col("m.b"), F.col("m.d"), F.lit(0)))
+    joined.select("page_id", "copy", "digest", _header(F.col("record_type")).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    drop(rows, first)
 
 
 def _field(name: str) -> Column:
@@ -83,8 +98,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     h = spark.read.parquet(f"{path}/headers")
     kind = h.schema["page_id"].dataType
     sizes = payloads(spark, path).select("digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
-    h = h.select("page_id", "copy", _field("WARC-Type").alias("record_type"), F.regexp_extract(_field("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("digest"), F.regexp_extract(_field("WARC-Refers-To"), "^<urn:page:(.+)>$", 1).alias("r"), _field("WARC-Target-URI").alias("target_uri"), _field("Content-Length").cast("bigint").alias("content_length"))
-    return h.join(sizes, "digest").select("page_id", "copy", "record_type", F.col("digest").alias("payload_digest"), "payload_bytes", F.when(F.col("r") != "", F.col("r")).cast(kind).alias("refers_to"), "target_uri", "content_length")
+    h = h.select("page_id", "copy", _field("WARC-Type").alias("record_type"), F.regexp_extract(_field("WARC-Payload-Digest"), "^sha256:(.*)$", 1).alias("digest"), _field("X-Refers-To-Page").alias("r"), _field("WARC-Target-URI").alias("target_uri"), _field("Content-Length").cast("bigint").alias("content_length"))
+    return h.join(sizes, "digest").select("page_id", "copy", "record_type", F.col("digest").alias("payload_digest"), "payload_bytes", F.col("r").cast(kind).alias("refers_to"), "target_uri", "content_length")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:

@@ -225,14 +225,19 @@ def test_op4_archive(spark, nothing, tmp_path):
     assert len(got) == len(rows) and [r.page_id for r in same if r.record_type == "response"] == [0] and all(r.refers_to == 0 for r in same if r.record_type == "revisit")
     assert all(r.record_type == "response" and r.refers_to is None for r in got if r.payload_bytes < 100)
     assert all(r.payload_bytes == len(big.encode()) for r in same)
+    ids, refers = {}, []
     for r in warc.records(spark, str(tmp_path / "a")).collect():
         f = io.BytesIO(bytes(r.record))
         assert f.readline() == b"WARC/1.1\r\n"
         fields = dict(x.split(b": ", 1) for x in iter(lambda f=f: f.readline().rstrip(b"\r\n"), b""))
         body = f.read(int(fields[b"Content-Length"]))
         assert f.read() == b"\r\n\r\n"
+        ids[fields[b"WARC-Record-ID"]] = fields[b"WARC-Type"], fields[b"WARC-Payload-Digest"]
+        if b"WARC-Refers-To" in fields:
+            refers.append((fields[b"WARC-Refers-To"], fields[b"WARC-Payload-Digest"]))
         if fields[b"WARC-Type"] == b"response":
             assert b"sha256:" + hashlib.sha256(body).hexdigest().encode() == fields[b"WARC-Payload-Digest"]
+    assert len(ids) == len(rows) and refers and all(ids[x] == (b"response", d) for x, d in refers)  # every revisit resolves
     assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 4
     warc.write(nothing.selectExpr("doc_id AS page_id", "source AS url", "text AS html"), str(tmp_path / "b"))
     assert warc.read(spark, str(tmp_path / "b")).count() == 0
