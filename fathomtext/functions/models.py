@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fathomtext.functions.text import WHITE, trim_space
+
 BYTES_PER_TOKEN = 2.0  # cautious stand-in where no measured ratio is given
 
 
@@ -49,7 +51,7 @@ class Registry:
 
     def register_alias(self, alias: str, canonical: str) -> None:
         """The key is folded, the value only trimmed."""
-        self.aliases[alias.strip().lower()] = canonical.strip()
+        self.aliases[alias.strip(WHITE).lower()] = canonical.strip(WHITE)
 
     def reset_aliases(self) -> None:
         self.aliases.clear()
@@ -62,9 +64,9 @@ class Registry:
 
     def canonical(self, name: str) -> str:
         """An alias' target, else the name without packaging: case, ``user.``, a tag, a file format."""
-        if (own := self.aliases.get(name.strip().lower())) is not None:
+        if (own := self.aliases.get(name.strip(WHITE).lower())) is not None:
             return own
-        s = name.strip().lower().removeprefix("user.")
+        s = name.strip(WHITE).lower().removeprefix("user.")
         if (i := s.find(":")) > 0:
             s = s[:i]
         return s.removesuffix(".gguf").removesuffix("-gguf")
@@ -104,12 +106,12 @@ def parse_aliases(source: str, value: str) -> list[tuple[str, str]]:
     """Pairs of a comma-separated list of served=canonical; blank items are skipped."""
     out = []
     for item in value.split(","):
-        if not item.strip():
+        if not item.strip(WHITE):
             continue
         served, equals, canonical = item.partition("=")
-        if not equals or not served.strip() or not canonical.strip():
-            raise ValueError(f"embedding: {source}: {item.strip()!r} is not a served=canonical pair")
-        out.append((served.strip(), canonical.strip()))
+        if not equals or not served.strip(WHITE) or not canonical.strip(WHITE):
+            raise ValueError(f"embedding: {source}: {item.strip(WHITE)!r} is not a served=canonical pair")
+        out.append((served.strip(WHITE), canonical.strip(WHITE)))
     return out
 
 
@@ -118,7 +120,7 @@ DEFAULT = Registry()
 
 def canonical_name(name: Column, registry: Registry = DEFAULT) -> Column:
     """Registry.canonical as a Column; aliases become literals of the plan."""
-    folded = F.lower(F.trim(name))
+    folded = F.lower(trim_space(name))
     s = F.regexp_replace(folded, r"^user\.", "")
     s = F.regexp_replace(s, r"^([^:]+):(?s:.*)$", "$1")
     s = F.regexp_replace(F.regexp_replace(s, r"\.gguf\z", ""), r"-gguf\z", "")

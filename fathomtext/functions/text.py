@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: fixed values: Unicode White_Space
 SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: the same set for Python's strip
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: fixed values: what is stripped, in order, and what stands in its place
 STRIP = [
     (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -40,7 +42,8 @@ def normalize_query(c: Column) -> Column:
 
 
 def cache_key(model: Column, dim: Column, query: Column) -> Column:
-    return F.concat_ws("\0", model, dim.cast("string"), normalize_query(query))
+    """Null for a null query (or model, or dim)."""
+    return F.concat(model, F.lit("\0"), dim.cast("string"), F.lit("\0"), normalize_query(query))
 
 
 def truncate_bytes(c: Column, n: int) -> Column:

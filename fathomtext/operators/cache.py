@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomtext.functions.text import cache_key
+from fathomtext.functions.text import cache_key, normalize_query
 from fathomtext.operators.embed import embed_df
 from fathomtext.sources.embedders import Embedder, embed_with_retry
+from fathomtext.sources.tables import keep
 
 CACHE = "key string, vector array<float>, last_used bigint"
 
@@ -26,12 +27,14 @@ def split_cached(queries: DataFrame, cache: DataFrame, model: str, dim: int, tex
 def embed_cached(queries: DataFrame, cache: DataFrame, e: Embedder, dim: int, now: int, key: str = "row_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key column, vector, cached) of every query, and the rows to append to the cache.
 
-    Raw texts are embedded; variants of one query share a key, and the last of them is stored."""
+    Raw texts are embedded, once: what they give is written before the two results are made of it.
+    Variants of one query share a key, and the last of them is stored. A null query has no vector."""
     hits, misses = split_cached(queries, cache, e.model, dim, text)
-    found = embed_df(misses, e, key, text)
-    known = misses.select(key, text).join(found, key)
-    fresh = known.where("vector IS NOT NULL").withColumn("key", cache_key(F.lit(e.model), F.size("vector"), F.col(text)))
-    append = fresh.groupBy("key").agg(F.max_by("vector", key).alias("vector")).withColumn("last_used", F.lit(now).cast("bigint"))
+    asked = keep(misses.select(F.struct(F.col(key).alias("k"), normalize_query(F.col(text)).alias("q")).alias("id"), F.col(text).alias("text")), "misses")
+    found = keep(embed_df(asked, e, "id").select(F.col("id.k").alias(key), F.col("id.q").alias("q"), "vector"), "embedded")
+    # the cache was asked by the dimension that is expected; what is stored goes by the vectors' own
+    named = found.where("vector IS NOT NULL").withColumn("key", F.concat(F.lit(e.model), F.lit("\0"), F.size("vector").cast("string"), F.lit("\0"), "q"))
+    append = named.groupBy("key").agg(F.max_by("vector", key).alias("vector")).withColumn("last_used", F.lit(now).cast("bigint"))
     out = hits.select(key, "vector", F.lit(True).alias("cached")).unionByName(found.select(key, "vector", F.lit(False).alias("cached")))
     return out, append
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from fathomtext.functions.text import WHITE
+
 
 class Heading(NamedTuple):
     start: int
@@ -17,7 +19,11 @@ class Heading(NamedTuple):
     path: tuple[str, ...]
 
 
-def _atx(line: bytes) -> tuple[int, bytes] | None:
+def _trim(line: bytes) -> str:
+    return line.decode("utf-8", "replace").strip(WHITE)
+
+
+def _atx(line: bytes) -> tuple[int, str] | None:
     """Up to 3 spaces, 1 to 6 hashes, then a blank or the end; closing hashes go, an empty title is prose."""
     body = line.lstrip(b" ")
     if len(line) - len(body) > 3:
@@ -26,7 +32,7 @@ def _atx(line: bytes) -> tuple[int, bytes] | None:
     level = len(body) - len(rest)
     if not 1 <= level <= 6 or (rest and rest[:1] not in (b" ", b"\t")):
         return None
-    title = rest.strip(b" \t\r\x0b\x0c").rstrip(b"#").strip(b" \t\r\x0b\x0c")
+    title = _trim(rest).rstrip("#").strip(WHITE)
     return (level, title) if title else None
 
 
@@ -37,7 +43,7 @@ def _underline(line: bytes) -> int:
 
 
 def _fence(line: bytes) -> tuple[bytes, int] | None:
-    body = line.lstrip(b" \t")
+    body = line.lstrip(b" ")
     for mark in (b"`", b"~"):
         n = len(body) - len(body.lstrip(mark))
         if n >= 3:
@@ -52,10 +58,10 @@ def scan(text: bytes) -> list[Heading]:
     fence: tuple[bytes, int] | None = None
     above: tuple[int, bytes] | None = None  # a paragraph line that an underline would make a heading
 
-    def push(start: int, level: int, title: bytes) -> None:
+    def push(start: int, level: int, title: str) -> None:
         while stack and stack[-1][0] >= level:
             stack.pop()
-        stack.append((level, title.decode("utf-8", "replace")))
+        stack.append((level, title))
         out.append(Heading(start, level, stack[-1][1], tuple(t for _, t in stack)))
 
     at = 0
@@ -72,16 +78,16 @@ def scan(text: bytes) -> list[Heading]:
             push(here, *found)
             above = None
         elif above and (level := _underline(line)):
-            push(above[0], level, above[1].strip(b" \t\r"))
+            push(above[0], level, _trim(above[1]))
             above = None
         else:
-            above = (here, line) if line.strip(b" \t\r") else None
+            above = (here, line) if _trim(line) else None
     return out
 
 
-def path_at(headings: list[Heading], place: int) -> list[str] | None:
-    """Path of the last heading at or before the place."""
-    i = bisect.bisect_right([h.start for h in headings], place)
+def path_at(headings: list[Heading], place: int, starts: list[int] | None = None) -> list[str] | None:
+    """Path of the last heading at or before the place; starts: those of the headings, if at hand."""
+    i = bisect.bisect_right(starts if starts is not None else [h.start for h in headings], place)
     return list(headings[i - 1].path) if i else None
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomtext.functions.errors import PermanentError, RerankUnavailable, rerank_http_error
-from fathomtext.functions.models import DEFAULT
+from fathomtext.functions.models import DEFAULT, Registry
 from fathomtext.operators.budget import limit_documents
 from fathomtext.operators.tokens import back_up
 from fathomtext.sources.config import JINA, TEI, RerankConfig
 from fathomtext.sources.http import Timeouts, post
 
 MOST = 256
+NO_BUDGET = 1 << 62
 
 
 class Reranker(ABC):
@@ -67,7 +68,7 @@ class Normalizing(Reranker):
     """Scores through the logistic function; the order stays."""
 
     def __init__(self, inner: Reranker):
-        self.inner, self.model = inner, inner.model
+        self.inner, self.model, self.strict = inner, inner.model, getattr(inner, "strict", False)
 
     def rerank(self, *args, **kwargs) -> list[tuple[int, float]]:
         import math
@@ -75,6 +76,19 @@ class Normalizing(Reranker):
         return [(i, 1 / (1 + math.exp(-s))) for i, s in self.inner.rerank(*args, **kwargs)]
 
 
+class LengthReranker(Reranker):
+    """Scores by the characters of a document, modulo a number: offline, with many ties (this project's addition)."""
+
+    model = "length"
+
+    def __init__(self, modulus: int = 97, strict: bool = False):
+        self.modulus, self.strict = modulus, strict
+
+    def rerank(self, query: str, documents: list[str], top_n: int = 0, instruction: str = "", max_document_bytes: int = 0) -> list[tuple[int, float]]:
+        found = sorted(((i, float(len(d) % self.modulus)) for i, d in enumerate(documents)), key=lambda x: -x[1])
+        return found[:top_n] if top_n > 0 else found
+
+
 def new_reranker(c: RerankConfig) -> Reranker:
     for name, value in (("Backend", c.backend), ("BaseURL", c.base_url), ("Model", c.model)):
         if not value:
@@ -100,25 +114,49 @@ def rank(scored: DataFrame, top_n: int = 0, query: str = "query_id", score: str
     return out.where(F.col("rank") <= top_n) if top_n > 0 else out
 
 
-def rerank_df(candidates: DataFrame, reranker: Reranker, top_n: int = 0, instruction: str = "", max_document_bytes: int = 0) -> DataFrame:
-    """query_id, doc_index, score, available, rank from (query_id, query, doc_index, document).
+def rerank_df(candidates: DataFrame, reranker: Reranker, top_n: int = 0, instruction: str = "", max_document_bytes: int = 0, registry: Registry = DEFAULT) -> DataFrame:
+    """query_id, doc_index, score, available, error, rank from (query_id, query, doc_index, document).
 
-    A query's shortlist is dealt in requests of MOST documents, so no task holds a whole query;
-    without the backend score is null, available false and the first-stage order stands."""
+    A query's shortlist is dealt in requests of MOST documents by their place in it, so no task
+    sends a whole query; the byte budget (max_document_bytes, else the model's registered one)
+    is fixed when the plan is made. Documents over it are cut, or, if the reranker is strict,
+    fail their query. Any request that fails fails its whole query: score is null for all of it,
+    available false if the backend was away and else error says why, and the first-stage order
+    stands. Documents that the backend leaves out of its answer are left out here, too. Equal
+    scores keep the order of requests and answers. A null document isn't sent: it has no score
+    and an error of its own, and ranks last."""
     q, d = candidates.schema["query_id"].dataType.simpleString(), candidates.schema["doc_index"].dataType.simpleString()
-    own = candidates.select("query_id", "query", "doc_index", limit_documents(F.col("document"), max_document_bytes).alias("document"), F.floor(F.col("doc_index") / MOST).alias("request"))
+    most = max_document_bytes if max_document_bytes > 0 else registry.lookup_limits(reranker.model).max_bytes
+    by_query = Window.partitionBy("query_id")
+    own = candidates.select("query_id", "query", "doc_index", "document")
+    sent = own.where("document IS NOT NULL")
+    size = F.octet_length("document")
+    over = F.lit(False) if most <= 0 or not getattr(reranker, "strict", False) else size > most
+    why = F.concat(F.lit("rerank: document "), F.col("doc_index").cast("string"), F.lit(f" exceeds {reranker.model} MaxBytes ("), size.cast("string"), F.lit(f" > {most})"))
+    sent = sent.withColumn("refused", F.min(F.when(over, why)).over(by_query)).withColumn("document", limit_documents(F.col("document"), most))
+    sent = sent.withColumn("request", F.floor((F.row_number().over(by_query.orderBy("doc_index")) - 1) / MOST))
 
     def request(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_index")
-        out = group[["query_id", "doc_index"]].assign(score=float("nan"), available=True)
+        out = group[["query_id", "doc_index"]].assign(score=float("nan"), place=-1, request=int(group["request"].iloc[0]), available=True, error=group["refused"])
+        if group["refused"].notna().any():
+            return out
         try:
-            got = reranker.rerank(group["query"].iloc[0], group["document"].tolist(), 0, instruction, max_document_bytes)
+            got = reranker.rerank(group["query"].iloc[0], group["document"].tolist(), 0, instruction, most if most > 0 else NO_BUDGET)
         except (RerankUnavailable, TimeoutError):
             return out.assign(available=False)
-        rows = group.iloc[[i for i, _ in got]][["query_id", "doc_index"]]
-        return rows.assign(score=[s for _, s in got], available=True)
-
-    scored = own.groupBy("query_id", "request").applyInPandas(request, f"query_id {q}, doc_index {d}, score double, available boolean")
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "doc_index")
-    out = scored.withColumn("score", F.when(F.col("available"), F.col("score"))).withColumn("rank", F.row_number().over(w))
+        except Exception as e:
+            return out.assign(error=str(e))
+        scores, places = [float("nan")] * len(group), [-1] * len(group)
+        for place, (i, s) in enumerate(got):
+            scores[i], places[i] = s, place
+        return out.assign(score=scores, place=places)
+
+    scored = sent.groupBy("query_id", "request").applyInPandas(request, f"query_id {q}, doc_index {d}, score double, place int, request bigint, available boolean, error string")
+    scored = scored.withColumn("available", F.min("available").over(by_query)).withColumn("error", F.min("error").over(by_query))
+    good = F.col("available") & F.col("error").isNull()
+    scored = scored.where(~good | (F.col("place") >= 0)).withColumn("score", F.when(good, F.col("score")))
+    missing = own.where("document IS NULL").select("query_id", "doc_index", F.lit(None).cast("double").alias("score"), F.lit(MOST).alias("place"), F.lit(None).cast("bigint").alias("request"), F.lit(True).alias("available"), F.lit("rerank: no document").alias("error"))
+    w = by_query.orderBy(F.desc_nulls_last("score"), F.when(F.col("score").isNotNull(), F.col("request")).asc_nulls_last(), F.when(F.col("score").isNotNull(), F.col("place")).asc_nulls_last(), F.col("request").isNull(), "doc_index")
+    out = scored.unionByName(missing).withColumn("rank", F.row_number().over(w)).select("query_id", "doc_index", "score", "available", "error", "rank")
     return out.where(F.col("rank") <= top_n) if top_n > 0 else out

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fathomtext.functions.models import BYTES_PER_TOKEN, DEFAULT, Limits
+from fathomtext.functions.models import BYTES_PER_TOKEN, DEFAULT, Limits, Registry
 from fathomtext.operators import markdown
 from fathomtext.operators.tokens import _WORD, Counter, back_up, extent
 
@@ -46,6 +46,7 @@ class SplitOptions:
     bytes_per_token: float = 0.0
     dedupe_overlap: bool = False  # leaves out chunks inside their predecessor
     limits: dict[str, Limits] = field(default_factory=lambda: dict(DEFAULT.limits), compare=False)
+    aliases: dict[str, str] = field(default_factory=lambda: dict(DEFAULT.aliases), compare=False)
 
 
 def _budget(model: str, size: int, o: SplitOptions) -> tuple[int, bool]:
@@ -57,8 +58,7 @@ def _budget(model: str, size: int, o: SplitOptions) -> tuple[int, bool]:
         return (min(derived, o.max_bytes) if o.max_bytes > 0 else derived), False
     if o.max_bytes > 0:
         return o.max_bytes, False
-    own = o.limits.get(model, o.limits.get(DEFAULT.canonical(model)))
-    return (own.max_bytes if own else 0), False
+    return Registry(o.limits, o.aliases).lookup_limits(model).max_bytes, False  # as they were when the options were made
 
 
 def _boundary(text: bytes, start: int, limit: int, floor: int, sections: list[int]) -> int:
@@ -129,7 +129,7 @@ def split(text: str, model: str = "", o: SplitOptions = SplitOptions()) -> list[
             if not held or b > held[-1][1]:
                 held.append((a, b, len(held)))
         spans = held
-    return [chunk(s, markdown.path_at(found, s[0]) if found else None) for s in spans]
+    return [chunk(s, markdown.path_at(found, s[0], sections) if found else None) for s in spans]
 
 
 def _absorb(raw: bytes, spans: list, most: int, o: SplitOptions, by_tokens: bool) -> list:

@@ -31,15 +31,22 @@ def truncate(count: Counter, text: bytes, most: int) -> bytes:
     """A prefix of at most ``most`` tokens by bisection over byte offsets.
 
     As in the behaviour to match, a step that lands inside the code point behind the lower
-    bound ends the search, so the prefix isn't always the longest one on multibyte text."""
-    if most <= 0 or count(text.decode("utf-8", "replace")) <= most:
+    bound ends the search, so the prefix isn't always the longest one on multibyte text.
+    Counts grow with the prefix, so steps beyond one that is known to be too long, found by
+    doubling, need no count: the work goes with the prefix, not with the text behind it."""
+    if most <= 0:
         return text
+    size = 16 * most
+    while count(text[: (over := back_up(text, size))].decode("utf-8", "replace")) <= most:
+        if over == len(text):
+            return text
+        size *= 2
     low, high = 0, len(text)
     while low < high:
         mid = back_up(text, (low + high + 1) // 2)
         if mid <= low:
             break
-        if count(text[:mid].decode("utf-8", "replace")) <= most:
+        if mid < over and count(text[:mid].decode("utf-8", "replace")) <= most:
             low = mid
         else:
             high = back_up(text, mid - 1)

@@ -39,7 +39,7 @@ _NAMES = "(SELECT unnest([" + ", ".join(map(_q, SERVED)) + "]) AS name)"
 _CANON = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '^user\.', ''), '^([^:]+):.*$', '\1'), '\.gguf$', ''), '-gguf$', '')"
 _ANSWERS = "(VALUES " + ", ".join(f"({s}, {_q(b)})" for s, b in ANSWERS) + ") a(status, body)"
 _TOO_LONG = "(status = 413 OR " + " OR ".join(f"contains(lower(body), {_q(x)})" for x in TOO_LONG) + ")"
-_PAIRS = f"(SELECT b.vec_id AS query_id, a.vec_id AS doc_index, round({_cosine('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id < 5 AND a.vec_id <> b.vec_id)"
+_PAIRS = f"(SELECT b.vec_id AS query_id, a.vec_id AS doc_index, round({_cosine('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)"
 _LOG = "(SELECT doc_id AS seq, lang AS model, strlen(text)::BIGINT AS bytes, len(string_split(text, ' '))::BIGINT AS tokens, len(string_split(text, ' ')) >= 500 AS clipped FROM documents)"
 _QUERIES = "(SELECT * FROM conversations WHERE role = 'user')"
 _KEY = f"('m' || chr(0) || '64' || chr(0) || {_normal('text')})"
@@ -54,15 +54,24 @@ SELECT model, coalesce(len(v), 0)::BIGINT AS samples, clipped, round(v[1], 6) AS
 
 
 def _split(size: int, overlap: int) -> str:
+    """Over a string with one character for each UTF-8 byte, so that places are bytes."""
+
+    def inside(p: str) -> str:
+        return f"unicode(substr(t, {p} + 1, 1)) BETWEEN 128 AND 191"
+
+    def back(p: str) -> str:
+        return f"CASE WHEN {p} >= n THEN n WHEN {inside(p)} THEN CASE WHEN {inside(f'({p} - 1)')} THEN CASE WHEN {inside(f'({p} - 2)')} THEN {p} - 3 ELSE {p} - 2 END ELSE {p} - 1 END ELSE {p} END"
+
     return f"""
-WITH RECURSIVE w AS (
- SELECT doc_id, text AS t, strlen(text)::INT AS n, 0 AS s, -1 AS last, -1 AS cs, -1 AS ce FROM documents WHERE strlen(text) = length(text)
+WITH RECURSIVE b AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: chr(('0x' || h)::INTEGER)), '') AS t FROM documents WHERE text IS NOT NULL),
+w AS (
+ SELECT doc_id, t, length(t)::INT AS n, 0 AS s, -1 AS last, -1 AS cs, -1 AS ce FROM b
  UNION ALL
  SELECT doc_id, t, n, CASE WHEN l >= n THEN n WHEN nx <= s OR nx <= last2 THEN e ELSE nx END, last2, cs2, ce2 FROM (
-  SELECT *, e - {overlap} AS nx, CASE WHEN cs2 >= 0 THEN cs2 ELSE last END AS last2 FROM (
+  SELECT *, {back(f"(e - {overlap})")} AS nx, CASE WHEN cs2 >= 0 THEN cs2 ELSE last END AS last2 FROM (
    SELECT *, CASE WHEN trim(sub, ws) = '' THEN -1 ELSE s + length(sub) - length(ltrim(sub, ws)) END AS cs2, CASE WHEN trim(sub, ws) = '' THEN -1 ELSE s + length(rtrim(sub, ws)) END AS ce2 FROM (
     SELECT *, substr(t, s + 1, e - s) AS sub, ' ' || chr(9) || chr(10) || chr(13) AS ws FROM (
-     SELECT *, CASE WHEN l >= n THEN n WHEN pi > 0 AND s + k - pi + 1 > fl THEN s + k - pi + 1 WHEN li > 0 AND s + k - li + 1 > fl THEN s + k - li + 1 WHEN si > 0 AND s + si > fl THEN s + si WHEN wi > 0 AND s + wi > fl THEN s + wi ELSE l END AS e FROM (
+     SELECT *, CASE WHEN l >= n THEN n WHEN pi > 0 AND s + k - pi + 1 > fl THEN s + k - pi + 1 WHEN li > 0 AND s + k - li + 1 > fl THEN s + k - li + 1 WHEN si > 0 AND s + si > fl THEN s + si WHEN wi > 0 AND s + wi > fl THEN s + wi ELSE {back("l")} END AS e FROM (
       SELECT *, instr(reverse(win), chr(10) || chr(10)) AS pi, instr(reverse(win), chr(10)) AS li, length(regexp_extract(win, '(?s)^(.*[.!?])[ \\t\\n\\r]', 1)) AS si, length(regexp_extract(win, '(?s)^(.+)[ \\t\\n\\r]', 1)) AS wi FROM (
        SELECT *, substr(t, s + 1, l - s) AS win, l - s AS k, s + ((l - s) * 50) // 100 AS fl FROM (SELECT *, least(s + {size}, n)::INT AS l FROM w WHERE s < n)))))))
 )
@@ -107,9 +116,9 @@ ORACLE = {
     "sigmoid_scores": f"SELECT query_id, doc_index, round(1 / (1 + exp(-score * 10)), 6) AS score FROM {_PAIRS}",
     "rerank_topn": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_index)::INTEGER AS rank FROM {_PAIRS}) WHERE rank <= 3",
     "rerank_ties": f"SELECT query_id, doc_index, round(score, 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1) DESC, doc_index)::INTEGER AS rank FROM {_PAIRS}",
+    "rerank_lengths": "SELECT query_id, doc_index, score, true AS available, CASE WHEN score IS NULL THEN 'rerank: no document' END AS error, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_index)::INTEGER AS rank FROM (SELECT coalesce(source, 'none') AS query_id, doc_id AS doc_index, (length(text) % 97)::DOUBLE AS score FROM documents)",
     "cache_split": f"SELECT conv_id, turn, {_KEY} IN (SELECT {_KEY} FROM {_QUERIES} WHERE conv_id % 3 = 0) AS hit FROM {_QUERIES}",
     "cache_evict": f"SELECT * FROM (SELECT sha256({_KEY}) AS key, max(conv_id) AS last_used FROM {_QUERIES} GROUP BY ALL) ORDER BY last_used DESC, key LIMIT 20",
-    "token_truncate_words": r"SELECT doc_id, rtrim(CASE WHEN len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) <= 10 THEN text ELSE regexp_extract(text, '(?s)^[ \t\n\x0B\f\r]*(?:[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]+){9}[^ \t\n\x0B\f\r]+[ \t\n\x0B\f\r]*') END) AS text FROM documents WHERE strlen(text) = length(text)",
     "token_count": r"SELECT doc_id, len(regexp_extract_all(text, '[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))::INTEGER AS n FROM documents",
     "split_bytes": _split(1024, 0),
     "split_overlap": _split(1024, 128),

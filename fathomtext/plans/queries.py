@@ -134,9 +134,9 @@ def context_length(spark, sf_dir):
     return _answers(spark).select("status", "body", errors.context_length(F.col("status"), F.col("body")).alias("context_length"))
 
 
-def _pairs(spark, sf_dir):
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return e.alias("a").join(F.broadcast(e.where("vec_id < 5")).alias("b"), F.col("a.vec_id") != F.col("b.vec_id")).select(F.col("b.vec_id").alias("query_id"), F.col("a.vec_id").alias("doc_index"), F.round(vectors.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("score"))
+def _pairs(spark, sf_dir, most=0):
+    """Every vector whose id is divisible by 100 is a query against all others, in blocks."""
+    return pairs.all_pairs(_t(spark, sf_dir, "embeddings"), most=most, queries="id % 100 = 0")
 
 
 def cosine_pairs(spark, sf_dir):
@@ -144,15 +144,7 @@ def cosine_pairs(spark, sf_dir):
 
 
 def cosine_topk(spark, sf_dir):
-    return rerank.rank(_pairs(spark, sf_dir), 10)
-
-
-def cosine_pairs_full(spark, sf_dir):
-    return pairs.all_pairs(_t(spark, sf_dir, "embeddings"))
-
-
-def cosine_topk_full(spark, sf_dir):
-    return rerank.rank(pairs.all_pairs(_t(spark, sf_dir, "embeddings"), most=10), 10)
+    return rerank.rank(_pairs(spark, sf_dir, 10), 10)
 
 
 def cosine_guards(spark, sf_dir):
@@ -199,23 +191,17 @@ def sigmoid_scores(spark, sf_dir):
 
 
 def rerank_topn(spark, sf_dir):
-    return rerank.rank(_pairs(spark, sf_dir), 3)
+    return rerank.rank(_pairs(spark, sf_dir, 3), 3)
 
 
 def rerank_ties(spark, sf_dir):
     return rerank.rank(_pairs(spark, sf_dir).withColumn("score", F.round("score", 1)))
 
 
-def sigmoid_scores_full(spark, sf_dir):
-    return pairs.all_pairs(_t(spark, sf_dir, "embeddings")).withColumn("score", F.round(rerank.sigmoid(F.col("score") * 10), 6))
-
-
-def rerank_topn_full(spark, sf_dir):
-    return rerank.rank(pairs.all_pairs(_t(spark, sf_dir, "embeddings"), most=3), 3)
-
-
-def rerank_ties_full(spark, sf_dir):
-    return rerank.rank(pairs.all_pairs(_t(spark, sf_dir, "embeddings")).withColumn("score", F.round("score", 1)))
+def rerank_lengths(spark, sf_dir):
+    """Each source's documents in first-stage order, reranked in requests of 256 by an offline reranker with ties."""
+    d = _docs(spark, sf_dir).select(F.coalesce("source", F.lit("none")).alias("query_id"), F.lit("q").alias("query"), F.col("doc_id").alias("doc_index"), F.col("text").alias("document"))
+    return rerank.rerank_df(d, rerank.LengthReranker())
 
 
 def cache_split(spark, sf_dir):
@@ -230,15 +216,7 @@ def cache_evict(spark, sf_dir):
     return cache.evict(c, 20).select("key", "last_used")
 
 
-def _ascii(spark, sf_dir):
-    return _docs(spark, sf_dir).where(F.octet_length("text") == F.length("text"))
-
-
 def token_truncate_words(spark, sf_dir):
-    return _ascii(spark, sf_dir).select("doc_id", F.rtrim(tokens.truncate_tokens(F.col("text"), 10)).alias("text"))
-
-
-def token_truncate_words_full(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.rtrim(tokens.truncate_tokens(F.col("text"), 10)).alias("text"))
 
 
@@ -250,16 +228,16 @@ def _spans(df, **options):
     return split.split_df(df, options=SplitOptions(**options), keep=("doc_id",))
 
 
-def split_bytes(spark, sf_dir):
-    return _spans(_ascii(spark, sf_dir), max_bytes=1024).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("start").alias("cs"), F.col("end").alias("ce"))
+def _offsets(df):
+    return df.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("start").alias("cs"), F.col("end").alias("ce"))
 
 
-def split_overlap(spark, sf_dir):
-    return _spans(_ascii(spark, sf_dir), max_bytes=1024, overlap=128).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("start").alias("cs"), F.col("end").alias("ce"))
+def split_bytes(spark, sf_dir):
+    return _offsets(_spans(_docs(spark, sf_dir), max_bytes=1024))
 
 
-def split_bytes_full(spark, sf_dir):
-    return _spans(_docs(spark, sf_dir), max_bytes=1024)
+def split_overlap(spark, sf_dir):
+    return _offsets(_spans(_docs(spark, sf_dir), max_bytes=1024, overlap=128))
 
 
 def split_full(spark, sf_dir):
@@ -313,7 +291,7 @@ def cached_embedding(spark, sf_dir):
     return out
 
 
-_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_pairs_full, cosine_topk_full, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, sigmoid_scores_full, rerank_topn_full, rerank_ties_full, cache_split, cache_evict, token_truncate_words, token_truncate_words_full, token_count, split_bytes, split_overlap, split_bytes_full, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
+_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, rerank_lengths, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
 
 
 def queries():

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from fathomtext.functions.models import DEFAULT, Limits, Registry, parse_aliases
 from fathomtext.sources.http import NO_TIMEOUT, Timeouts
 
 OLLAMA, OPENAI, JINA, TEI = "ollama", "openai", "jina", "tei"
+#: fixed values: units of durations, spellings of booleans
 _UNIT = {"ns": 1e-9, "us": 1e-6, "µs": 1e-6, "μs": 1e-6, "ms": 1e-3, "s": 1.0, "m": 60.0, "h": 3600.0}
 _TRUE, _FALSE = {"1", "t", "T", "TRUE", "true", "True"}, {"0", "f", "F", "FALSE", "false", "False"}
 
@@ -26,6 +28,8 @@ class Config:
     strict: bool = False
     strict_model: bool = False
     timeouts: Timeouts = Timeouts()
+    tokenizer: Callable[[str], int] | None = None  # exact token budgets where it is given
+    on_usage: Callable[[dict], None] | None = None  # told of each request's tokens, in the process that sends it
 
     def limits(self, registry: Registry = DEFAULT) -> Limits:
         return registry.effective_limits(self.model, Limits(self.max_bytes, self.max_tokens), self.bytes_per_token)
@@ -42,6 +46,7 @@ class RerankConfig:
     timeouts: Timeouts = Timeouts()
 
 
+#: fixed values: the presets
 def ollama_local_nomic() -> Config:
     return Config(OLLAMA, "http://localhost:11434", "nomic-embed-text")
 

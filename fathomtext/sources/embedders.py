@@ -15,6 +15,7 @@ from fathomtext.sources.config import OLLAMA, OPENAI, Config
 from fathomtext.sources.http import Timeouts, post
 
 LEAST_BYTES = 256
+MOST_USAGE = 4096
 
 
 class Embedder(ABC):
@@ -24,6 +25,10 @@ class Embedder(ABC):
     @abstractmethod
     def embed(self, texts: list[str]) -> list[list[float] | None]: ...
 
+    def take_usage(self) -> list[dict]:
+        """Usage rows of the requests since the last call."""
+        return []
+
     @property
     def fingerprint(self) -> tuple[str, int]:
         return self.model, self.dim
@@ -71,15 +76,19 @@ def bound(texts: list[str], limits: Limits, model: str, strict: bool, tokenizer:
 
 
 class HttpEmbedder(Embedder):
-    """Budget, shrinking, one request, token usage. Usage rows gather in ``usage``."""
+    """Budget, shrinking, one request, token usage. Usage rows gather in ``usage`` until they're taken, the last ``MOST_USAGE`` at most, and go to ``on_usage``."""
 
     path = ""
 
-    def __init__(self, base_url: str, model: str, limits: Limits = Limits(), strict: bool = False, timeouts: Timeouts = Timeouts(), api_key: str = "", tokenizer: Counter | None = None):
+    def __init__(self, base_url: str, model: str, limits: Limits = Limits(), strict: bool = False, timeouts: Timeouts = Timeouts(), api_key: str = "", tokenizer: Counter | None = None, on_usage=None):
         self.base_url, self.model, self.limits, self.strict = base_url.rstrip("/"), model, limits, strict
-        self.timeouts, self.api_key, self.tokenizer = timeouts, api_key, tokenizer
+        self.timeouts, self.api_key, self.tokenizer, self.on_usage = timeouts, api_key, tokenizer, on_usage
         self.usage: list[dict] = []
 
+    def take_usage(self) -> list[dict]:
+        out, self.usage = self.usage, []
+        return out
+
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         return embed_shrinking(bound(texts, self.limits, self.model, self.strict, self.tokenizer), self._send)
 
@@ -94,7 +103,10 @@ class HttpEmbedder(Embedder):
         if tokens <= 0:
             return
         clipped = self.limits.max_tokens > 0 and len(texts) == 1 and tokens >= self.limits.max_tokens
-        self.usage.append({"model": self.model, "inputs": len(texts), "bytes": sum(len(t.encode()) for t in texts), "tokens": tokens, "max_tokens": self.limits.max_tokens, "clipped": clipped})
+        row = {"model": self.model, "inputs": len(texts), "bytes": sum(len(t.encode()) for t in texts), "tokens": tokens, "max_tokens": self.limits.max_tokens, "clipped": clipped}
+        self.usage = [*self.usage[1 - MOST_USAGE :], row]
+        if self.on_usage:
+            self.on_usage(row)
         if clipped and self.strict:
             raise PermanentError(f"embedding: input for model {self.model!r} was clipped by the backend ({tokens} tokens against a {self.limits.max_tokens} budget)")
 
@@ -157,7 +169,7 @@ def new_embedder(c: Config, registry: Registry = DEFAULT) -> Embedder:
         raise ValueError(f"embedding: unknown backend {c.backend!r}")
     if c.strict_model:
         registry.check_strict(c.model)
-    return kinds[c.backend](c.base_url, c.model, c.limits(registry), c.strict, c.timeouts, c.api_key)
+    return kinds[c.backend](c.base_url, c.model, c.limits(registry), c.strict, c.timeouts, c.api_key, c.tokenizer, c.on_usage)
 
 
 def new_ollama_embedder(base_url: str, model: str) -> OllamaEmbedder:

@@ -39,6 +39,8 @@ def calibration_stream(log: DataFrame, window: int = WINDOW) -> DataFrame:
             good = rows[~rows["clipped"].astype(bool)]
             ring = (ring + (good["bytes"] / good["tokens"]).tolist())[-window:]
             state.update((ring, clipped))
+        if not state.exists:
+            return  # no row of the model counted so far
         s, n = sorted(ring), len(ring)
         at = lambda p: s[min(n * p // 100, n - 1)] if n else None
         yield pd.DataFrame([[key[0], n, clipped, s[0] if n else None, at(10), at(50), sum(ring) / n if n else None]], columns=["model", "samples", "clipped", "min", "p10", "median", "mean"])
