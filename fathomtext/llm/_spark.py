@@ -3,49 +3,11 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else (single host only, as in tests) a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="fathomtext-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _folder(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once to the shared folder, go on from the written table.
-
-    The table goes when the application ends, or earlier by ``drop``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    fs, p = _folder(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kept_at = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete kept tables that no later step reads."""
-    for t in tables:
-        fs, p = _folder(t.sparkSession, t._kept_at)
-        fs.delete(p, True)
+from fathomtext.sources.tables import drop, keep, shared_dir  # noqa: F401
 
 
 def _give_back() -> None:
