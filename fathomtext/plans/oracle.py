@@ -53,29 +53,91 @@ r AS (SELECT model, list_sort(list(bytes / tokens)) AS v, avg(bytes / tokens) AS
 SELECT model, coalesce(len(v), 0)::BIGINT AS samples, clipped, round(v[1], 6) AS min, round(v[least(len(v) * 10 // 100, len(v) - 1) + 1], 6) AS p10, round(v[least(len(v) * 50 // 100, len(v) - 1) + 1], 6) AS median, round(mean, 6) AS mean FROM t LEFT JOIN r USING (model)"""
 
 
-def _split(size: int, overlap: int) -> str:
-    """Over a string with one character for each UTF-8 byte, so that places are bytes."""
+def _inside(p: str) -> str:
+    return f"unicode(substr(t, {p} + 1, 1)) BETWEEN 128 AND 191"
 
-    def inside(p: str) -> str:
-        return f"unicode(substr(t, {p} + 1, 1)) BETWEEN 128 AND 191"
 
-    def back(p: str) -> str:
-        return f"CASE WHEN {p} >= n THEN n WHEN {inside(p)} THEN CASE WHEN {inside(f'({p} - 1)')} THEN CASE WHEN {inside(f'({p} - 2)')} THEN {p} - 3 ELSE {p} - 2 END ELSE {p} - 1 END ELSE {p} END"
+def _back(p: str) -> str:
+    return f"CASE WHEN {p} >= n THEN n WHEN {_inside(p)} THEN CASE WHEN {_inside(f'({p} - 1)')} THEN CASE WHEN {_inside(f'({p} - 2)')} THEN {p} - 3 ELSE {p} - 2 END ELSE {p} - 1 END ELSE {p} END"
 
+
+def _ended(rel: str, sections: bool) -> str:
+    """rel(t, n, s, l, fl, starts) with e, where its window ends."""
+    section = "WHEN len(list_filter(starts, lambda x: x > s AND x <= l)) > 0 THEN list_max(list_filter(starts, lambda x: x > s AND x <= l))" if sections else ""
+    return f"""
+     SELECT *, CASE WHEN l >= n THEN n {section} WHEN pi > 0 AND s + k - pi + 1 > fl THEN s + k - pi + 1 WHEN li > 0 AND s + k - li + 1 > fl THEN s + k - li + 1 WHEN si > 0 AND s + si > fl THEN s + si WHEN wi > 0 AND s + wi > fl THEN s + wi ELSE {_back("l")} END AS e FROM (
+      SELECT *, instr(reverse(win), chr(10) || chr(10)) AS pi, instr(reverse(win), chr(10)) AS li, length(regexp_extract(win, '(?s)^(.*[.!?])[ \\t\\n\\r]', 1)) AS si, length(regexp_extract(win, '(?s)^(.+)[ \\t\\n\\r]', 1)) AS wi FROM (
+       SELECT *, substr(t, s + 1, l - s) AS win, l - s AS k FROM ({rel})))"""
+
+
+def _trimmed(a: str, b: str, name: str) -> str:
+    """Columns of the first and the last place of t[a:b] without blanks around it; -1 if there is nothing else."""
+    sub, ws = f"substr(t, {a} + 1, {b} - {a})", "' ' || chr(9) || chr(10) || chr(13)"
+    return f"CASE WHEN trim({sub}, {ws}) = '' THEN -1 ELSE {a} + length({sub}) - length(ltrim({sub}, {ws})) END AS {name}s, CASE WHEN trim({sub}, {ws}) = '' THEN -1 ELSE {a} + length(rtrim({sub}, {ws})) END AS {name}e"
+
+
+def _split(size: int, overlap: int, source: str = "SELECT doc_id, text, []::BIGINT[] AS starts FROM documents", first: str = "", sections: bool = False) -> str:
+    """CTEs up to sp(doc_id, ordinal, c, cs, ce), over a string with one character for each UTF-8 byte, so that places are bytes."""
+    window = f"SELECT *, s + ((l - s) * 50) // 100 AS fl FROM (SELECT *, least(s + {size}, n)::INT AS l FROM w WHERE s < n)"
     return f"""
-WITH RECURSIVE b AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: chr(('0x' || h)::INTEGER)), '') AS t FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE {first} src AS ({source}),
+b AS (SELECT doc_id, starts, hex(encode(text)) AS h, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: chr(('0x' || h)::INTEGER)), '') AS t FROM src WHERE text IS NOT NULL),
 w AS (
- SELECT doc_id, t, length(t)::INT AS n, 0 AS s, -1 AS last, -1 AS cs, -1 AS ce FROM b
+ SELECT doc_id, starts, t, length(t)::INT AS n, 0 AS s, -1 AS last, -1 AS cs, -1 AS ce FROM b
  UNION ALL
- SELECT doc_id, t, n, CASE WHEN l >= n THEN n WHEN nx <= s OR nx <= last2 THEN e ELSE nx END, last2, cs2, ce2 FROM (
-  SELECT *, {back(f"(e - {overlap})")} AS nx, CASE WHEN cs2 >= 0 THEN cs2 ELSE last END AS last2 FROM (
-   SELECT *, CASE WHEN trim(sub, ws) = '' THEN -1 ELSE s + length(sub) - length(ltrim(sub, ws)) END AS cs2, CASE WHEN trim(sub, ws) = '' THEN -1 ELSE s + length(rtrim(sub, ws)) END AS ce2 FROM (
-    SELECT *, substr(t, s + 1, e - s) AS sub, ' ' || chr(9) || chr(10) || chr(13) AS ws FROM (
-     SELECT *, CASE WHEN l >= n THEN n WHEN pi > 0 AND s + k - pi + 1 > fl THEN s + k - pi + 1 WHEN li > 0 AND s + k - li + 1 > fl THEN s + k - li + 1 WHEN si > 0 AND s + si > fl THEN s + si WHEN wi > 0 AND s + wi > fl THEN s + wi ELSE {back("l")} END AS e FROM (
-      SELECT *, instr(reverse(win), chr(10) || chr(10)) AS pi, instr(reverse(win), chr(10)) AS li, length(regexp_extract(win, '(?s)^(.*[.!?])[ \\t\\n\\r]', 1)) AS si, length(regexp_extract(win, '(?s)^(.+)[ \\t\\n\\r]', 1)) AS wi FROM (
-       SELECT *, substr(t, s + 1, l - s) AS win, l - s AS k, s + ((l - s) * 50) // 100 AS fl FROM (SELECT *, least(s + {size}, n)::INT AS l FROM w WHERE s < n)))))))
-)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY cs) - 1 AS ordinal, cs, ce FROM w WHERE cs >= 0"""
+ SELECT doc_id, starts, t, n, CASE WHEN l >= n THEN n WHEN nx <= s OR nx <= last2 THEN e ELSE nx END, last2, cs2, ce2 FROM (
+  SELECT *, {_back(f"(e - {overlap})")} AS nx, CASE WHEN cs2 >= 0 THEN cs2 ELSE last END AS last2 FROM (
+   SELECT *, cut_s AS cs2, cut_e AS ce2 FROM (SELECT *, {_trimmed("s", "e", "cut_")} FROM ({_ended(window, sections)}))))
+),
+sp AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY cs) - 1)::INTEGER AS ordinal, count(*) OVER (PARTITION BY doc_id) AS c, cs, ce FROM w WHERE cs >= 0)"""
+
+
+def _absorbed(size: int, least: int) -> str:
+    """CTE fin: sp with a short last chunk merged, or the last two cut anew near their middle."""
+    pair = f"SELECT doc_id, min(cs) AS a, max(ce) AS z, max(c) - 2 AS o FROM sp WHERE c >= 2 AND ordinal >= c - 2 GROUP BY doc_id HAVING arg_max(ce, ordinal) - arg_max(cs, ordinal) < {least}"
+    window = f"SELECT b.starts, b.t, length(b.t)::INT AS n, p.*, a AS s, least((a + z) // 2, least(z, a + {size}))::INT AS l, greatest(a, z - {size})::INT AS fl FROM ({pair}) p JOIN b USING (doc_id)"
+    return f""",
+re AS (SELECT *, z - a <= {size} AS whole, e > a AND e < z AND ls >= 0 AND rs >= 0 AND le - ls <= {size} AND re - rs <= {size} AS anew FROM (SELECT *, {_trimmed("a", "e", "l")}, {_trimmed("e", "z", "r")} FROM ({_ended(window, False)}))),
+fin AS (
+ SELECT sp.doc_id, ordinal, cs, ce FROM sp LEFT JOIN re USING (doc_id) WHERE o IS NULL OR ordinal < o OR NOT (whole OR anew)
+ UNION ALL SELECT doc_id, o::INTEGER, a, z FROM re WHERE whole
+ UNION ALL SELECT doc_id, o::INTEGER, ls, le FROM re WHERE anew AND NOT whole
+ UNION ALL SELECT doc_id, o::INTEGER + 1, rs, re.re FROM re WHERE anew AND NOT whole)"""
+
+
+def _texts(rel: str, more: str = "") -> str:
+    return f'SELECT doc_id, ordinal, cs::INTEGER AS "start", ce::INTEGER AS "end", decode(unhex(substr(h, 2 * cs::INTEGER + 1, 2 * (ce - cs)::INTEGER))) AS text{more} FROM {rel} JOIN b USING (doc_id)'
+
+
+_OFFSETS = "SELECT doc_id, ordinal::BIGINT AS ordinal, cs, ce FROM sp"
+
+_RENDERED = "SELECT conv_id AS doc_id, '# Conversation ' || conv_id || chr(10) || coalesce(string_agg(chr(10) || '## ' || role || ' ' || turn || chr(10) || chr(10) || text || chr(10), '' ORDER BY turn, text), '') AS text FROM conversations GROUP BY conv_id"
+
+#: hd(doc_id, start, level, title, path): lines are looked at one after the other, with the open fence and whether a paragraph line stands above
+_HEADINGS = rf"""
+md AS ({_RENDERED}),
+ln0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM md),
+ln AS (SELECT doc_id, i, line, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start, left(mark, 1) AS mc, length(mark) AS mn,
+  CASE WHEN title = '' THEN 0 ELSE length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})(?:[ \t]|$)', 1)) END AS atx, title, {_trim("line")} AS body, CASE WHEN regexp_matches(line, '^ *=+[ \t]*$') THEN 1 WHEN regexp_matches(line, '^ *-+[ \t]*$') THEN 2 ELSE 0 END AS ul
+  FROM (SELECT *, regexp_extract(line, '^ *(`{{3,}}|~{{3,}})', 1) AS mark, {_trim("regexp_replace(" + _trim("regexp_extract(line, '(?s)^ {0,3}#{1,6}(.*)$', 1)") + ", '#+$', '')")} AS title FROM ln0)),
+st AS (
+ SELECT doc_id, 0::BIGINT AS i, '' AS fc, 0::BIGINT AS fn, false AS above, 0::BIGINT AS hl FROM md
+ UNION ALL
+ SELECT doc_id, l.i, CASE WHEN fc = '' THEN mc WHEN mc = fc AND mn >= fn THEN '' ELSE fc END, CASE WHEN fc = '' THEN mn WHEN mc = fc AND mn >= fn THEN 0 ELSE fn END,
+  fc = '' AND mn = 0 AND atx = 0 AND NOT (above AND ul > 0) AND body <> '', CASE WHEN fc <> '' OR mn > 0 THEN 0 WHEN atx > 0 THEN atx WHEN above AND ul > 0 THEN 10 + ul ELSE 0 END
+ FROM st JOIN ln l USING (doc_id) WHERE l.i = st.i + 1),
+hd0 AS (SELECT doc_id, o.start, (hl % 10)::INTEGER AS level, CASE WHEN hl > 10 THEN o.body ELSE o.title END AS title FROM st JOIN ln o USING (doc_id) WHERE hl > 0 AND o.i = st.i - CASE WHEN hl > 10 THEN 1 ELSE 0 END),
+hd AS (SELECT doc_id, h.start, h.level, h.title, concat_ws(' > ', (SELECT string_agg(g.title, ' > ' ORDER BY g.start) FROM hd0 g WHERE g.doc_id = h.doc_id AND g.start < h.start AND g.level < h.level AND NOT EXISTS (SELECT 1 FROM hd0 k WHERE k.doc_id = g.doc_id AND k.start > g.start AND k.start < h.start AND k.level <= g.level)), h.title) AS path FROM hd0 h)"""
+
+
+def _vectors(rel: str) -> str:
+    """CTEs from ask, which is rel(id, text), to ve(id, place, value), its hashed words."""
+    return f"""
+ask AS ({rel}),
+wd AS (SELECT id, md5(w) AS h FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[^{_SPACE[1:-1]}]+')) AS w FROM ask)),
+sm AS (SELECT id, (('0x' || substr(h, 1, 13))::BIGINT % 64)::INTEGER AS place, sum(CASE WHEN substr(h, 14, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM wd GROUP BY ALL),
+nm AS (SELECT id, sqrt(sum(v * v)) AS norm FROM sm GROUP BY id),
+ve AS (SELECT ask.id, p.place, CASE WHEN norm > 0 THEN coalesce(v, 0) / norm ELSE 0 END::FLOAT AS value FROM ask CROSS JOIN (SELECT unnest(range(64))::INTEGER AS place) p LEFT JOIN sm ON sm.id = ask.id AND sm.place = p.place LEFT JOIN nm ON nm.id = ask.id WHERE text IS NOT NULL)"""
 
 
 def _limit(field: int) -> str:
@@ -120,6 +182,15 @@ ORACLE = {
     "cache_split": f"SELECT conv_id, turn, {_KEY} IN (SELECT {_KEY} FROM {_QUERIES} WHERE conv_id % 3 = 0) AS hit FROM {_QUERIES}",
     "cache_evict": f"SELECT * FROM (SELECT sha256({_KEY}) AS key, max(conv_id) AS last_used FROM {_QUERIES} GROUP BY ALL) ORDER BY last_used DESC, key LIMIT 20",
     "token_count": r"SELECT doc_id, len(regexp_extract_all(text, '[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))::INTEGER AS n FROM documents",
-    "split_bytes": _split(1024, 0),
-    "split_overlap": _split(1024, 128),
+    "split_bytes": _split(1024, 0) + _OFFSETS,
+    "split_overlap": _split(1024, 128) + _OFFSETS,
+    "split_full": _split(1024, 128) + _texts("sp"),
+    "split_sql": _split(2000, 0) + _texts("sp"),
+    "split_minbytes": _split(1000, 0) + _absorbed(1000, 300) + _texts("fin"),
+    "headings": f"WITH RECURSIVE {_HEADINGS} SELECT doc_id, start, level, title, path FROM hd",
+    "split_markdown": _split(400, 0, "SELECT doc_id, text, coalesce((SELECT list(start::BIGINT) FROM hd WHERE hd.doc_id = md.doc_id), []) AS starts FROM md", _HEADINGS + ",", True) + _texts("sp", ", CASE WHEN length(t) > 400 THEN (SELECT arg_max(path, start) FROM hd WHERE hd.doc_id = sp.doc_id AND hd.start <= cs) END AS headings"),
+    "embed_hash": "WITH" + _vectors("SELECT doc_id AS id, text FROM documents") + "SELECT id AS doc_id, place, round(value::DOUBLE, 6) AS value FROM ve",
+    "batch_embed_results": "SELECT doc_id, 64 AS dim, true AS good FROM documents",
+    "cached_embedding": "WITH" + _vectors(f"SELECT row_number() OVER () AS id, conv_id || ':' || turn AS row_id, {_KEY} AS key, text FROM {_QUERIES}") + "SELECT row_id, key IN (SELECT key FROM ask WHERE row_id LIKE '1%') AS cached, place, round(value::DOUBLE, 6) AS value FROM ve JOIN ask USING (id)",
+    "flagship": _split(1024, 128, f"SELECT page_id AS doc_id, {_strip('html')} AS text, []::BIGINT[] AS starts FROM pages") + f", ch AS ({_texts('sp')})," + _vectors("SELECT doc_id || ':' || ordinal AS id, text FROM ch UNION ALL SELECT '', 'the report of the year'") + f", v AS (SELECT id, list(value ORDER BY place) AS v FROM ve GROUP BY id) SELECT a.id AS row_id, round({_cosine('a.v', 'q.v')}, 6) AS score FROM v a, v q WHERE q.id = '' AND a.id <> '' ORDER BY score DESC, row_id LIMIT 5",
 }

@@ -241,13 +241,13 @@ def split_overlap(spark, sf_dir):
 
 
 def split_full(spark, sf_dir):
-    return _spans(_docs(spark, sf_dir), max_bytes=1024, overlap=128)
+    return _spans(_docs(spark, sf_dir), max_bytes=1024, overlap=128).drop("headings")
 
 
 def split_sql(spark, sf_dir):
     split.register_sql(spark)
     _docs(spark, sf_dir).createOrReplaceTempView("__documents")
-    return spark.sql("SELECT d.doc_id, s.* FROM __documents d, LATERAL split_text(d.text, 2000, 0) s")
+    return spark.sql("SELECT d.doc_id, s.text, s.start, s.end, s.ordinal FROM __documents d, LATERAL split_text(d.text, 2000, 0) s")
 
 
 def _rendered(spark, sf_dir):
@@ -258,23 +258,23 @@ def _rendered(spark, sf_dir):
 
 
 def split_markdown(spark, sf_dir):
-    return _spans(_rendered(spark, sf_dir), max_bytes=400, markdown=True)
+    return _spans(_rendered(spark, sf_dir), max_bytes=400, markdown=True).withColumn("headings", F.array_join("headings", " > "))
 
 
 def split_minbytes(spark, sf_dir):
-    return _spans(_docs(spark, sf_dir), max_bytes=1000, min_bytes=300)
+    return _spans(_docs(spark, sf_dir), max_bytes=1000, min_bytes=300).drop("headings")
 
 
 def split_tokens(spark, sf_dir):
-    return _spans(_docs(spark, sf_dir), max_tokens=100, tokenizer=tokens.count_words)
+    return _spans(_docs(spark, sf_dir), max_tokens=100, tokenizer=tokens.count_words).drop("headings")
 
 
 def headings(spark, sf_dir):
-    return _rendered(spark, sf_dir).select("doc_id", F.inline(markdown.headings(F.col("text"))))
+    return _rendered(spark, sf_dir).select("doc_id", F.inline(markdown.headings(F.col("text")))).withColumn("path", F.array_join("path", " > "))
 
 
 def embed_hash(spark, sf_dir):
-    return embed.embed_df(_docs(spark, sf_dir), HashEmbedder(), "doc_id")
+    return embed.embed_df(_docs(spark, sf_dir), HashEmbedder(), "doc_id").select("doc_id", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 def batch_embed_results(spark, sf_dir):
@@ -288,7 +288,7 @@ def cached_embedding(spark, sf_dir):
     known = embed.embed_df(c.where("row_id LIKE '1%'"), e).join(c, "row_id")
     stored = cache.keyed(known, e.model, e.dim).groupBy("key").agg(F.max_by("vector", "row_id").alias("vector"))
     out, _ = cache.embed_cached(c, stored, e, e.dim, 1)
-    return out
+    return out.select("row_id", "cached", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 _ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, rerank_lengths, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]

@@ -10,7 +10,7 @@ import numpy as np
 
 from fathomtext.functions.errors import PermanentError, http_error, is_retryable
 from fathomtext.functions.models import DEFAULT, Limits, Registry
-from fathomtext.operators.tokens import Counter, back_up, truncate
+from fathomtext.operators.tokens import _WORD, Counter, back_up, truncate
 from fathomtext.sources.config import OLLAMA, OPENAI, Config
 from fathomtext.sources.http import Timeouts, post
 
@@ -142,9 +142,9 @@ class HashEmbedder(Embedder):
     def embed(self, texts: list[str]) -> list[list[float] | None]:
         out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
-            for word in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+            for word in _WORD.findall(t.lower()):
+                h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+                out[i, int(h[:13], 16) % self.dim] += 1 if h[13] >= "8" else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32).tolist()
 

@@ -60,7 +60,7 @@ def test_every_vector_is_a_query(spark, monkeypatch):
 BLANK = " \t\n\r"
 
 
-def brute_spans(text, most, overlap):
+def brute_spans(text, most, overlap, by_tokens=0):
     """Spans by looking at each place between code points: the last paragraph, line, sentence or word end that fills half the window."""
     at = [0]
     for c in text:
@@ -82,12 +82,16 @@ def brute_spans(text, most, overlap):
             out.append((at[i], at[j]))
         return i < j
 
-    if n <= most:
+    if n <= most and not by_tokens:
         put(0, n)
         return out
-    while n - start > most:
-        limit, first = start + most, at.index(start)
-        least = start + most * 50 // 100
+    while start < n:
+        limit, first = min(start + most, n), at.index(start)
+        if by_tokens:
+            limit = min(limit, max(start + len(brute_cut(text[first:], by_tokens).encode()), at[first + 1]))
+        if limit >= n:
+            break
+        least = start + (limit - start) * 50 // 100
         inside = [k for k in range(first + 1, len(at)) if at[k] <= limit]
         kinds = (
             [k for k in inside if k - 2 >= first and text[k - 2 : k] == "\n\n"],
@@ -100,7 +104,8 @@ def brute_spans(text, most, overlap):
             last = out[-1][0]
         following = floor(end - overlap)
         start = end if following <= start or following <= last else following
-    put(start, n)
+    if start < n:
+        put(start, n)
     return out
 
 
@@ -147,3 +152,36 @@ def test_multibyte_documents(spark, tmp_path):
             want = Counter((i, k, a, b, t.encode()[a:b].decode()) for i, t in few for k, (a, b) in enumerate(brute_spans(t, 1024, overlap)))
             ids = {i for i, _ in few}
             assert Counter({k: n for k, n in got.items() if k[0] in ids}) == want
+
+
+def test_split_by_tokens_by_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = plans.queries()["split_tokens"](spark, SF).collect()
+    few = {i: t for i, t in texts.items() if t is not None and len(t) < 2500}
+    assert len(few) > 50 and {r.doc_id for r in rows} == {i for i, t in texts.items() if t and t.strip()}
+    want = Counter((i, k, a, b, t.encode()[a:b].decode()) for i, t in few.items() for k, (a, b) in enumerate(brute_spans(t, len(t.encode()), 0, 100)))
+    assert Counter((r.doc_id, r.ordinal, r.start, r.end, r.text) for r in rows if r.doc_id in few) == want
+
+
+def test_odd_texts_against_sql(spark, tmp_path):
+    """Fences that open in other fences, both kinds of headings, empty titles, Unicode white space, multibyte texts."""
+    import random
+
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(11)
+    lines = ["# One", "## Two ##", "   ### Three", "    # code", "#", "# ", "#None", "####### seven", "Über", "===", "---", " == ", "- x", "```", "````", "~~~", "~~~~ x", "\t```", "", "", " ", "\u00a0", "\f", "日本 語", "#\u3000wide", "# \u3000", "#\ttab", "## a # b", "word word. Word! ", "é" * 30, "x" * 90]
+    talks = [(i // 3, i % 3, "user", "\n".join(r.choice(lines) for _ in range(r.randint(0, 14)))) for i in range(300)]
+    spark.createDataFrame([*talks, (1000, 0, "user", None), (1001, 0, "user", "")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    bits = ["é", "日本", "🙂", "word", " ", " ", "\n", "\n\n", ". ", "! ", "\t", "ß" * 20]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 1200))) for _ in range(150)] + ["", " \n", "日" * 1000, "x" * 1100, "a" * 990 + " b", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("conversations", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("headings", "split_markdown", "split_minbytes", "split_full", "split_sql", "embed_hash"):
+        df = plans.queries()[name](spark, str(tmp_path))
+        cols = sorted(df.columns)
+        found = con.execute(plans.oracle_sql()[name])
+        names = [x[0] for x in found.description]
+        want = Counter(tuple(plain(x[names.index(c)]) for c in cols) for x in found.fetchall())
+        assert want and Counter(tuple(plain(x[c]) for c in cols) for x in df.collect()) == want, name
