@@ -142,3 +142,17 @@ def model_limits(name: Column, registry: Registry = DEFAULT) -> Column:
     return F.struct(*fields)
 
 
+
+
+def strict_error(name: Column, registry: Registry = DEFAULT) -> Column:
+    """Registry.check_strict as a Column: why a model isn't recognised, null if it is."""
+    from fathomtext.functions.prompts import has_prompts
+
+    canonical, limits = canonical_name(name, registry), model_limits(name, registry)
+    prompts = F.lit(False)
+    for key in (canonical, name):  # as in model_limits
+        for model in registry.task_prompters:
+            prompts = F.when(key == model, has_prompts(registry, model)).otherwise(prompts)
+    known = prompts | (limits["max_bytes"] != 0) | (limits["max_tokens"] != 0)
+    why = F.concat(F.lit("embedding: model '"), name, F.lit("' is not recognised (canonical '"), canonical, F.lit("'): no prefixes and no budget would apply"))
+    return F.when(~known, why)

@@ -51,3 +51,10 @@ def fingerprint(vectors: DataFrame, model: str, column: str = "vector") -> DataF
 def check_fingerprint(stored: tuple[str, int], current: tuple[str, int]) -> None:
     if tuple(stored) != tuple(current):
         raise MismatchError(f"embedding: stored vectors are {stored[0]!r} of {stored[1]}, current ones {current[0]!r} of {current[1]}")
+
+
+def fingerprint_error(vector: Column, stored: str, current: tuple[str, int]) -> Column:
+    """check_fingerprint of each stored vector, as a Column: null where it is of the current model and dimension."""
+    dim = F.coalesce(F.when(F.size(vector) > 0, F.size(vector)), F.lit(0))
+    why = F.concat(F.lit(f"embedding: stored vectors are {stored!r} of "), dim.cast("string"), F.lit(f", current ones {current[0]!r} of {current[1]}"))
+    return F.when((F.lit(stored) != current[0]) | (dim != current[1]), why)

@@ -124,7 +124,11 @@ def rerank_df(candidates: DataFrame, reranker: Reranker, top_n: int = 0, instruc
     available false if the backend was away and else error says why, and the first-stage order
     stands. Documents that the backend leaves out of its answer are left out here, too. Equal
     scores keep the order of requests and answers. A null document isn't sent: it has no score
-    and an error of its own, and ranks last."""
+    and an error of its own, and ranks last. Normalized scores are made of the ranked raw ones,
+    so documents whose scores round to one number keep their order."""
+    normalized = isinstance(reranker, Normalizing)
+    while isinstance(reranker, Normalizing):
+        reranker = reranker.inner
     q, d = candidates.schema["query_id"].dataType.simpleString(), candidates.schema["doc_index"].dataType.simpleString()
     most = max_document_bytes if max_document_bytes > 0 else registry.lookup_limits(reranker.model).max_bytes
     by_query = Window.partitionBy("query_id")
@@ -158,5 +162,6 @@ def rerank_df(candidates: DataFrame, reranker: Reranker, top_n: int = 0, instruc
     scored = scored.where(~good | (F.col("place") >= 0)).withColumn("score", F.when(good, F.col("score")))
     missing = own.where("document IS NULL").select("query_id", "doc_index", F.lit(None).cast("double").alias("score"), F.lit(MOST).alias("place"), F.lit(None).cast("bigint").alias("request"), F.lit(True).alias("available"), F.lit("rerank: no document").alias("error"))
     w = by_query.orderBy(F.desc_nulls_last("score"), F.when(F.col("score").isNotNull(), F.col("request")).asc_nulls_last(), F.when(F.col("score").isNotNull(), F.col("place")).asc_nulls_last(), F.col("request").isNull(), "doc_index")
-    out = scored.unionByName(missing).withColumn("rank", F.row_number().over(w)).select("query_id", "doc_index", "score", "available", "error", "rank")
+    ranked = scored.unionByName(missing).withColumn("rank", F.row_number().over(w))
+    out = (ranked.withColumn("score", sigmoid(F.col("score"))) if normalized else ranked).select("query_id", "doc_index", "score", "available", "error", "rank")
     return out.where(F.col("rank") <= top_n) if top_n > 0 else out

@@ -1,7 +1,7 @@
 """SQL with the same rows as the registered queries, for an engine with RE2 regular expressions."""
 
 from fathomtext.functions.errors import TOO_LONG
-from fathomtext.plans.queries import ANSWERS, SERVED
+from fathomtext.plans.queries import ANSWERS, SERVED, SETTINGS
 
 _SPACE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -70,6 +70,11 @@ def _ended(rel: str, sections: bool) -> str:
        SELECT *, substr(t, s + 1, l - s) AS win, l - s AS k FROM ({rel})))"""
 
 
+def _follows(p: str) -> str:
+    """Whether byte p of the text whose bytes are h, in hex, goes on with a code point."""
+    return f"substr(h, 2 * ({p})::INTEGER + 1, 1) IN ('8', '9', 'A', 'B')"
+
+
 def _trimmed(a: str, b: str, name: str) -> str:
     """Columns of the first and the last place of t[a:b] without blanks around it; -1 if there is nothing else."""
     sub, ws = f"substr(t, {a} + 1, {b} - {a})", "' ' || chr(9) || chr(10) || chr(13)"
@@ -164,13 +169,20 @@ ORACLE = {
     "lookup_limits": f"SELECT name, {_limit(0)} AS max_bytes, {_limit(1)} AS max_tokens FROM {_NAMES}",
     "lookup_model": f"SELECT name, {_CANON} AS canonical, {_limit(0)} AS max_bytes, {_CANON} IN ('nomic-embed-text', 'nomic-embed-text-v2', 'embeddinggemma') AS has_prompts, {_limit(0)} > 0 AS known FROM {_NAMES}",
     "effective_limits": "SELECT model, set_bytes, set_tokens, ratio::DOUBLE AS ratio, CASE WHEN set_bytes > 0 THEN set_bytes WHEN known THEN 6000 ELSE floor(set_tokens * CASE WHEN ratio > 0 THEN ratio ELSE 2 END)::INTEGER END AS max_bytes, CASE WHEN set_tokens > 0 THEN set_tokens ELSE 2000 END AS max_tokens FROM (SELECT *, model = 'nomic-embed-text' AS known FROM (VALUES ('nomic-embed-text', 0, 0, 0.0), ('nomic-embed-text', 100, 0, 0.0), ('x', 0, 1000, 1.75), ('x', 0, 1000, 0.0), ('x', 50, 1000, 1.75)) v(model, set_bytes, set_tokens, ratio))",
+    "alias_models": "SELECT name, canonical, CASE WHEN lower(name) = 'bge-reranker-v2-m3:q8' THEN 18000 WHEN canonical IN ('nomic-embed-text', 'nomic-embed-text-v2', 'embeddinggemma') THEN 6000 ELSE 0 END AS max_bytes, CASE WHEN lower(name) = 'bge-reranker-v2-m3:q8' THEN 6000 WHEN canonical IN ('nomic-embed-text', 'nomic-embed-text-v2', 'embeddinggemma') THEN 2000 ELSE 0 END AS max_tokens FROM (SELECT name, CASE lower(name) WHEN ':odd' THEN 'embeddinggemma' WHEN 'nomic-embed-text-v2-moe' THEN 'nomic-embed-text-v2' ELSE " + _CANON + " END AS canonical FROM " + _NAMES + ")",
+    "registered_limits": f"SELECT name, CASE k WHEN 'unknown-model' THEN 700 WHEN 'nomic-embed-text-v2' THEN 6000 WHEN 'bge-reranker-v2-m3' THEN 18000 ELSE 0 END AS max_bytes, CASE k WHEN 'nomic-embed-text' THEN 512 WHEN 'nomic-embed-text-v2' THEN 2000 WHEN 'bge-reranker-v2-m3' THEN 6000 ELSE 0 END AS max_tokens FROM (SELECT name, {_CANON} AS k FROM {_NAMES})",
+    "strict_model": f"SELECT name, CASE WHEN k NOT IN ('nomic-embed-text', 'nomic-embed-text-v2', 'embeddinggemma', 'bge-reranker-v2-m3') THEN 'embedding: model ''' || name || ''' is not recognised (canonical ''' || k || '''): no prefixes and no budget would apply' END AS error FROM (SELECT name, {_CANON} AS k FROM {_NAMES})",
+    "own_prompters": "SELECT doc_id, '[clustering] ' || source AS mine, source AS gone, '<' || coalesce(lang, '') || '> ' || CASE WHEN coalesce(lang, '') = '' THEN source WHEN source = '' THEN 'lang: ' || lang ELSE 'lang: ' || lang || chr(10) || chr(10) || source END AS document FROM documents",
+    "settings": "SELECT own_model, model, own_bytes, bytes, own_timeout, timeout, CASE WHEN good THEN coalesce(nullif(own_model, ''), nullif(model, ''), 'nomic-embed-text') END AS found_model, CASE WHEN good THEN coalesce(TRY_CAST(b AS INTEGER), 0) END AS found_bytes, CASE WHEN good THEN CASE WHEN t IS NULL THEN 0 WHEN t = 'none' THEN -1 ELSE coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)h', 1) AS DOUBLE), 0) * 3600 + coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)m', 1) AS DOUBLE), 0) * 60 + coalesce(TRY_CAST(regexp_extract(t, '([0-9]+)s', 1) AS DOUBLE), 0) END::DOUBLE END AS found_timeout, good FROM (SELECT *, coalesce(regexp_matches(b, '^[+]?0*[1-9][0-9]*$'), true) AND coalesce(t = 'none' OR regexp_matches(t, '^([0-9]+[hms])+$'), true) AS good FROM (SELECT *, coalesce(nullif(own_bytes, ''), nullif(bytes, '')) AS b, coalesce(nullif(own_timeout, ''), nullif(timeout, '')) AS t FROM (VALUES " + ", ".join("(" + ", ".join(map(_q, c)) + ")" for c in SETTINGS) + ") v(own_model, model, own_bytes, bytes, own_timeout, timeout)))",
+    "fingerprint_compare": "SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN 'embedding: stored vectors are ''m'' of ' || len(embedding) || ', current ones ''m'' of 3' END AS error FROM embeddings",
+    "embed_shrinking": f"WITH RECURSIVE s AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, h, CASE WHEN p < n AND {_follows('p')} THEN CASE WHEN {_follows('p - 1')} THEN CASE WHEN {_follows('p - 2')} THEN p - 3 ELSE p - 2 END ELSE p - 1 END ELSE p END FROM (SELECT *, greatest(n * 4 // 5, 256) AS p FROM s WHERE n > 1000)) SELECT doc_id, n::INTEGER AS bytes, NULL::VARCHAR AS error FROM s WHERE n <= 1000 UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL",
     "classify_http": f"SELECT status, body, status BETWEEN 400 AND 499 AS permanent, status BETWEEN 400 AND 499 AND {_TOO_LONG} AS too_long FROM {_ANSWERS}",
     "rerank_classify": f"SELECT status, body, status = 429 OR status >= 500 AS unavailable, status <> 429 AND status BETWEEN 400 AND 499 AS permanent, status <> 429 AND status BETWEEN 400 AND 499 AND {_TOO_LONG} AS too_long FROM {_ANSWERS}",
     "context_length": f"SELECT status, body, {_TOO_LONG} AS context_length FROM {_ANSWERS}",
     "cosine_pairs": f"SELECT * FROM {_PAIRS}",
     "cosine_topk": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_index)::INTEGER AS rank FROM {_PAIRS}) WHERE rank <= 10",
     "cosine_guards": "SELECT vec_id, 0.0::DOUBLE AS zero, 0.0::DOUBLE AS uneven, 0.0::DOUBLE AS empty FROM embeddings",
-    "codec_roundtrip": "SELECT vec_id, len(embedding)::INTEGER * 4 AS bytes, true AS same, 2 AS cut FROM embeddings",
+    "codec_roundtrip": "SELECT vec_id, len(embedding)::INTEGER * 4 AS bytes, true AS same, 2 AS cut, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings",
     "fingerprint_check": "SELECT DISTINCT 'nomic-embed-text' AS model, len(embedding)::INTEGER AS dim FROM embeddings",
     "usage_rows": f"SELECT seq, model, 1 AS inputs, bytes, tokens, 500 AS max_tokens, tokens >= 500 AS clipped FROM {_LOG}",
     "calibration": _calibration(4096),
@@ -179,6 +191,7 @@ ORACLE = {
     "rerank_topn": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_index)::INTEGER AS rank FROM {_PAIRS}) WHERE rank <= 3",
     "rerank_ties": f"SELECT query_id, doc_index, round(score, 1) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1) DESC, doc_index)::INTEGER AS rank FROM {_PAIRS}",
     "rerank_lengths": "SELECT query_id, doc_index, score, true AS available, CASE WHEN score IS NULL THEN 'rerank: no document' END AS error, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_index)::INTEGER AS rank FROM (SELECT coalesce(source, 'none') AS query_id, doc_id AS doc_index, (length(text) % 97)::DOUBLE AS score FROM documents)",
+    "rerank_normalized": "SELECT query_id, doc_index, round(1 / (1 + exp(-score)), 9) AS score, true AS available, CASE WHEN score IS NULL THEN 'rerank: no document' END AS error, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_index)::INTEGER AS rank FROM (SELECT coalesce(source, 'none') AS query_id, doc_id AS doc_index, (length(text) % 97)::DOUBLE AS score FROM documents)",
     "cache_split": f"SELECT conv_id, turn, {_KEY} IN (SELECT {_KEY} FROM {_QUERIES} WHERE conv_id % 3 = 0) AS hit FROM {_QUERIES}",
     "cache_evict": f"SELECT * FROM (SELECT sha256({_KEY}) AS key, max(conv_id) AS last_used FROM {_QUERIES} GROUP BY ALL) ORDER BY last_used DESC, key LIMIT 20",
     "token_count": r"SELECT doc_id, len(regexp_extract_all(text, '[^\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))::INTEGER AS n FROM documents",

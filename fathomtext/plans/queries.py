@@ -9,9 +9,12 @@ from fathomtext.functions import errors, models, prompts, text, usage, vectors
 from fathomtext.functions.models import Limits
 from fathomtext.operators import budget, cache, embed, markdown, pairs, rerank, split, tokens
 from fathomtext.operators.split import SplitOptions
-from fathomtext.sources.embedders import HashEmbedder, embed_one
+from fathomtext.sources.config import config_from_env
+from fathomtext.sources.embedders import HashEmbedder, SizeEmbedder, embed_one
 
 SERVED = ["nomic-embed-text", "user.Nomic-Embed-Text-GGUF:latest", "nomic-embed-text-v2", "Embeddinggemma.gguf", "bge-reranker-v2-m3:q8", "nomic-embed-text-v2-moe", "unknown-model", ":odd"]
+ALIASES = " User.Odd = x , :ODD=embeddinggemma,, Nomic-Embed-Text-v2-moe=nomic-embed-text-v2"
+SETTINGS = [("a", "b", "10", "20", "30s", ""), ("", "b", "", "20", "", "1m30s"), ("", "", "", "", "", ""), ("a", "", "x", "5", "none", "5s"), ("", "b", "-1", "", "", ""), ("a", "b", "0", "7", "", ""), ("", "", "+8", "", "1h2m", ""), ("", "", "", "", "12", ""), ("", "", "1.5", "", "", ""), ("", "", "", "", "-5s", "")]
 ANSWERS = [(400, "maximum context reached"), (400, "invalid token"), (413, ""), (429, "slow down"), (500, "too long"), (503, ""), (404, "no such model"), (422, "Input LENGTH over"), (301, "")]
 
 
@@ -116,6 +119,41 @@ def lookup_model(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, canonical string, max_bytes int, has_prompts boolean, known boolean")
 
 
+def alias_models(spark, sf_dir):
+    """Names with aliases: those of before a reset are gone, those of a parsed list hold; exact names keep their own budgets."""
+    r = models.Registry()
+    r.register_alias("unknown-model", "embeddinggemma")
+    r.reset_aliases()
+    for served, canonical in models.parse_aliases("ALIASES", ALIASES):
+        r.register_alias(served, canonical)
+    x = _names(spark).select("name", models.canonical_name(F.col("name"), r).alias("canonical"), models.model_limits(F.col("name"), r).alias("l"))
+    return x.select("name", "canonical", "l.max_bytes", "l.max_tokens")
+
+
+def registered_limits(spark, sf_dir):
+    r = models.Registry()
+    r.register_limits("unknown-model", Limits(700, 0))
+    r.register_limits("nomic-embed-text", Limits(0, 512))
+    r.unregister_limits("embeddinggemma")
+    return _names(spark).select("name", models.model_limits(F.col("name"), r).alias("l")).select("name", "l.max_bytes", "l.max_tokens")
+
+
+def strict_model(spark, sf_dir):
+    return _names(spark).select("name", models.strict_error(F.col("name")).alias("error"))
+
+
+def own_prompters(spark, sf_dir):
+    """Prompters registered for a model of one's own, one taken away again."""
+    r = models.Registry()
+    prompts.register_task_prompter("mine", lambda task, t: F.concat(F.lit(f"[{task}] "), t), r)
+    prompts.register_document_prompter("mine", lambda title, t: F.concat(F.lit("<"), F.coalesce(title, F.lit("")), F.lit("> "), t), r)
+    prompts.register_task_prompter("gone", prompts.lookup_task_prompter("mine", r), r)
+    prompts.register_task_prompter("gone", None, r)
+    d = _docs(spark, sf_dir)
+    items = prompts.fields(("lang", F.col("lang")))
+    return d.select("doc_id", prompts.format_for_task("user.Mine:latest", prompts.CLUSTERING, F.col("source"), r).alias("mine"), prompts.format_for_task("gone", prompts.CLUSTERING, F.col("source"), r).alias("gone"), prompts.format_retrieval_document("mine", F.col("lang"), items, F.col("source"), r).alias("document"))
+
+
 def effective_limits(spark, sf_dir):
     cases = [("nomic-embed-text", 0, 0, 0.0), ("nomic-embed-text", 100, 0, 0.0), ("x", 0, 1000, 1.75), ("x", 0, 1000, 0.0), ("x", 50, 1000, 1.75)]
     rows = [(m, b, t, r, e.max_bytes, e.max_tokens) for m, b, t, r in cases for e in [models.DEFAULT.effective_limits(m, Limits(b, t), r)]]
@@ -155,7 +193,7 @@ def cosine_guards(spark, sf_dir):
 
 def codec_roundtrip(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings").withColumn("b", vectors.encode_floats(F.col("embedding")))
-    return e.select("vec_id", F.octet_length("b").alias("bytes"), (vectors.decode_floats(F.col("b")) == F.col("embedding")).alias("same"), F.size(vectors.decode_floats(F.substring("b", 1, 9))).alias("cut"))
+    return e.select("vec_id", F.octet_length("b").alias("bytes"), (vectors.decode_floats(F.col("b")) == F.col("embedding")).alias("same"), F.round(F.aggregate(vectors.decode_floats(F.col("b")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(vectors.decode_floats(F.substring("b", 1, 9))).alias("cut"))
 
 
 def fingerprint_check(spark, sf_dir):
@@ -168,6 +206,11 @@ def _log(spark, sf_dir):
     return d.select(F.col("doc_id").alias("seq"), F.col("lang").alias("model"), F.octet_length("text").cast("bigint").alias("bytes"), words.cast("bigint").alias("tokens"), (words >= 500).alias("clipped"))
 
 
+def fingerprint_compare(spark, sf_dir):
+    cut = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding"))
+    return _t(spark, sf_dir, "embeddings").select("vec_id", vectors.fingerprint_error(cut, "m", ("m", 3)).alias("error"))
+
+
 def usage_rows(spark, sf_dir):
     d = _log(spark, sf_dir)
     u = usage.usage_row(F.col("model"), F.lit(1), F.col("bytes"), F.col("tokens"), Limits(0, 500))
@@ -204,6 +247,12 @@ def rerank_lengths(spark, sf_dir):
     return rerank.rerank_df(d, rerank.LengthReranker())
 
 
+def rerank_normalized(spark, sf_dir):
+    """As rerank_lengths, with normalized scores; many of them round to 1."""
+    d = _docs(spark, sf_dir).select(F.coalesce("source", F.lit("none")).alias("query_id"), F.lit("q").alias("query"), F.col("doc_id").alias("doc_index"), F.col("text").alias("document"))
+    return rerank.rerank_df(d, rerank.Normalizing(rerank.LengthReranker())).withColumn("score", F.round("score", 9))
+
+
 def cache_split(spark, sf_dir):
     c = _t(spark, sf_dir, "conversations").where("role = 'user'")
     stored = cache.keyed(c.where("conv_id % 3 = 0"), "m", 64).groupBy("key").agg(F.lit(None).cast("array<float>").alias("vector"))
@@ -277,6 +326,25 @@ def embed_hash(spark, sf_dir):
     return embed.embed_df(_docs(spark, sf_dir), HashEmbedder(), "doc_id").select("doc_id", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+def embed_shrinking(spark, sf_dir):
+    """Texts beyond the backend's window are cut until it takes them; the vector is the size that was sent."""
+    return embed.embed_df(_docs(spark, sf_dir), SizeEmbedder(1000), "doc_id", size=1).select("doc_id", F.col("vector")[0].cast("int").alias("bytes"), F.col("error.message").alias("error"))
+
+
+def settings(spark, sf_dir):
+    """Model, byte budget and time limit from the environment: one's own variables before the canonical ones."""
+
+    def row(case):
+        names = [p + s for s in ("_MODEL", "_MAX_BYTES", "_TIMEOUT") for p in ("APP", "EMBEDDING")]
+        try:
+            c = config_from_env("APP", dict(zip(names, case, strict=True)))
+        except ValueError:
+            return (*case, None, None, None, False)
+        return (*case, c.model, c.max_bytes, float(c.timeouts.base), True)
+
+    return spark.createDataFrame([row(c) for c in SETTINGS], "own_model string, model string, own_bytes string, bytes string, own_timeout string, timeout string, found_model string, found_bytes int, found_timeout double, good boolean")
+
+
 def batch_embed_results(spark, sf_dir):
     out = embed.embed_df(_docs(spark, sf_dir), HashEmbedder(), "doc_id", deterministic=True)
     return out.select("doc_id", F.size("vector").alias("dim"), F.col("error").isNull().alias("good"))
@@ -291,7 +359,7 @@ def cached_embedding(spark, sf_dir):
     return out.select("row_id", "cached", F.posexplode("vector").alias("place", "value")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_guards, codec_roundtrip, fingerprint_check, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, rerank_lengths, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, batch_embed_results, cached_embedding]
+_ALL = [strip_nonsemantic, normalize_query, cache_key, truncate_bytes, limits_flag, strict_reject, limit_documents, shrink_once, format_record, format_for_task, format_record_for_task, format_retrieval_doc, canonical_model, lookup_limits, alias_models, registered_limits, strict_model, own_prompters, settings, lookup_model, effective_limits, classify_http, rerank_classify, context_length, cosine_pairs, cosine_topk, cosine_guards, codec_roundtrip, fingerprint_check, fingerprint_compare, usage_rows, calibration, calibration_window, sigmoid_scores, rerank_topn, rerank_ties, rerank_lengths, rerank_normalized, cache_split, cache_evict, token_truncate_words, token_count, split_bytes, split_overlap, split_full, split_sql, split_markdown, split_minbytes, split_tokens, headings, embed_hash, embed_shrinking, batch_embed_results, cached_embedding]
 
 
 def queries():

@@ -149,6 +149,22 @@ class HashEmbedder(Embedder):
         return (out / np.where(norm > 0, norm, 1)).astype(np.float32).tolist()
 
 
+class SizeEmbedder(Embedder):
+    """The bytes of each text as its only element; a call with a text beyond the window is refused as too long (this project's addition)."""
+
+    def __init__(self, window: int):
+        self.model, self.dim, self.window = "size", 1, window
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        return embed_shrinking(texts, self._send)
+
+    def _send(self, texts: list[str]) -> list[list[float] | None]:
+        sizes = [len(t.encode()) for t in texts]
+        if max(sizes, default=0) > self.window:
+            raise PermanentError(f"embedding: {max(sizes)} bytes are too long", too_long=True)
+        return [[float(n)] for n in sizes]
+
+
 class TableEmbedder(Embedder):
     """Vectors by key from a bounded dict (this project's addition)."""
 

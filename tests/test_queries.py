@@ -178,7 +178,7 @@ def test_odd_texts_against_sql(spark, tmp_path):
     con = duckdb.connect()
     for t in ("conversations", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    for name in ("headings", "split_markdown", "split_minbytes", "split_full", "split_sql", "embed_hash"):
+    for name in ("headings", "split_markdown", "split_minbytes", "split_full", "split_sql", "embed_hash", "embed_shrinking"):
         df = plans.queries()[name](spark, str(tmp_path))
         cols = sorted(df.columns)
         found = con.execute(plans.oracle_sql()[name])
