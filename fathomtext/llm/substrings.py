@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomtext.llm._spark import keep, lean
+from fathomtext.llm._spark import drop, keep, lean
 from fathomtext.llm._words import Words, mix, utf8, word_slices, words
 
 GRAM = 6
@@ -253,6 +253,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
     shared = anchors.join(counted, "anchor").groupBy("rid").agg(F.collect_set(F.when(F.col("c") <= group, F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("c") > group, F.col("anchor"))).alias("hot"))
     state = own.join(shared, "rid", "left").select("doc_id", "rid", "text", "anchors", "hot")
     state = keep(state.mapInArrow(lean(_settle), f"doc_id {kind}, rid bigint, anchors array<bigint>, hot array<bigint>, text string, n_words bigint, sha string"), "state")
+    drop(anchors, counted)
     open_ = state.where("anchors IS NOT NULL")
 
     shipped = open_.where("size(anchors) > 0").select("doc_id", "rid", "anchors", "text").mapInArrow(_ship(window), f"anchor bigint, doc_id {kind}, rid bigint, first int, n int, body string")
@@ -266,13 +267,15 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
     windows = windows.select("s1", "s2", "o", "w.f", "w.g", F.struct(F.col("m.x").alias("x"), F.col("m.d").alias("d"), (F.col("m.f") + F.col("o")).alias("f")).alias("at"))
     earliest = keep(windows.groupBy("f", "g").agg(F.min("at").alias("b")), "earliest")
     named = keep(windows.join(earliest, ["f", "g"]).groupBy("s1", "s2").agg(F.collect_list(F.struct("o", "b")).alias("bs")), "named")  # at most window - GRAM + 1 each
+    drop(earliest)
 
     def later(x):
         return F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), (F.col("first") + x["o"]).alias("f")) > x["b"]
 
-    large = spelt.select("s1", "s2", "doc_id", "rid", "first").join(named, ["s1", "s2"]).select("rid", F.transform(F.filter("bs", later), lambda x: F.struct((F.col("first") + x["o"]).alias("first"), F.lit(1).alias("n"))).alias("s")).where("size(s) > 0")
+    large = spelt.select("s1", "s2", "doc_id", "rid", "first").join(named, ["s1", "s2"]).select("doc_id", "rid", F.transform(F.filter("bs", later), lambda x: F.struct((F.col("first") + x["o"]).alias("first"), F.lit(1).alias("n"))).alias("s")).where("size(s) > 0")
 
-    spans = small.select("rid", F.array(F.struct("first", "n")).alias("s")).unionByName(large).groupBy("rid").agg(F.collect_set("s").alias("spans"))
+    # a row goes by its doc_id and 64 bits: at 10^10 rows some of different documents share those bits
+    spans = small.select("doc_id", "rid", F.array(F.struct("first", "n")).alias("s")).unionByName(large).groupBy("doc_id", "rid").agg(F.collect_set("s").alias("spans"))
     done = state.where("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    rest = open_.select("doc_id", "rid", "text").join(spans, "rid", "left").select("doc_id", "text", "spans")
+    rest = open_.select("doc_id", "rid", "text").join(spans.withColumnRenamed("doc_id", "d"), (F.col("d").eqNullSafe(F.col("doc_id"))) & (open_["rid"] == spans["rid"]), "left").select("doc_id", "text", "spans")
     return done.unionByName(rest.mapInArrow(_finish(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"))
