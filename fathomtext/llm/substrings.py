@@ -274,8 +274,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, group: int = GROUP, id_col
 
     large = spelt.select("s1", "s2", "doc_id", "rid", "first").join(named, ["s1", "s2"]).select("doc_id", "rid", F.transform(F.filter("bs", later), lambda x: F.struct((F.col("first") + x["o"]).alias("first"), F.lit(1).alias("n"))).alias("s")).where("size(s) > 0")
 
-    # a row goes by its doc_id and 64 bits: at 10^10 rows some of different documents share those bits
-    spans = small.select("doc_id", "rid", F.array(F.struct("first", "n")).alias("s")).unionByName(large).groupBy("doc_id", "rid").agg(F.collect_set("s").alias("spans"))
+    # rows of different documents may share a rid (at 10^10 rows some do): each takes the spans of its own doc_id
+    spans = small.select("rid", "doc_id", F.array(F.struct("first", "n")).alias("s")).unionByName(large).groupBy("rid").agg(F.collect_set(F.struct("doc_id", "s")).alias("spans"))
     done = state.where("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    rest = open_.select("doc_id", "rid", "text").join(spans.withColumnRenamed("doc_id", "d"), (F.col("d").eqNullSafe(F.col("doc_id"))) & (open_["rid"] == spans["rid"]), "left").select("doc_id", "text", "spans")
+    own_spans = F.transform(F.filter("spans", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id"))), lambda x: x["s"])
+    rest = open_.select("doc_id", "rid", "text").join(spans, "rid", "left").select("doc_id", "text", own_spans.alias("spans"))
     return done.unionByName(rest.mapInArrow(_finish(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"))
