@@ -185,3 +185,17 @@ def test_odd_texts_against_sql(spark, tmp_path):
         names = [x[0] for x in found.description]
         want = Counter(tuple(plain(x[names.index(c)]) for c in cols) for x in found.fetchall())
         assert want and Counter(tuple(plain(x[c]) for c in cols) for x in df.collect()) == want, name
+
+
+ODD_RECORDS = [(1, "x", "en", "web"), (2, "", "en", "web"), (3, "x", "", "web"), (4, "x", "en", ""), (5, "x", None, "web"), (6, "", "", ""), (7, None, "en", "web"), (8, " \n", "en", "web")]
+
+
+def odd_records(spark, tmp_path, name):
+    spark.createDataFrame(ODD_RECORDS, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r.record for r in plans.queries()[name](spark, str(tmp_path)).collect()}
+
+
+def test_records_of_empty_texts_and_fields(spark, tmp_path):
+    """The reference leaves out empty fields, and the blank line if the body is empty; the SQL hasn't these cases."""
+    want = {1: "lang: en\nsource: web\n\nx", 2: "lang: en\nsource: web", 3: "source: web\n\nx", 4: "lang: en\n\nx", 5: "source: web\n\nx", 6: "", 7: None, 8: "lang: en\nsource: web\n\n \n"}
+    assert odd_records(spark, tmp_path, "format_record") == want
