@@ -199,3 +199,8 @@ def test_records_of_empty_texts_and_fields(spark, tmp_path):
     """The reference leaves out empty fields, and the blank line if the body is empty; the SQL hasn't these cases."""
     want = {1: "lang: en\nsource: web\n\nx", 2: "lang: en\nsource: web", 3: "source: web\n\nx", 4: "lang: en\n\nx", 5: "source: web\n\nx", 6: "", 7: None, 8: "lang: en\nsource: web\n\n \n"}
     assert odd_records(spark, tmp_path, "format_record") == want
+
+
+def test_records_for_a_task_of_empty_texts_and_fields(spark, tmp_path):
+    want = {1: "lang: en\n\nx", 2: "lang: en", 3: "x", 4: "lang: en\n\nx", 5: "x", 6: "", 8: "lang: en\n\n \n"}
+    assert odd_records(spark, tmp_path, "format_record_for_task") == {k: f"clustering:\n{v}" for k, v in want.items()} | {7: None}
