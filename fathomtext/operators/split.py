@@ -2,26 +2,31 @@
 
 The kernel is pure Python over UTF-8 bytes; beside it stand an Arrow UDF that returns
 an array of chunks, a DataFrame transform and a SQL table function. One shuffle-free stage.
+Python holds the chunks of about AT_ONCE bytes of text at a time; a batch's others are in Arrow.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructType
 
 from fathomtext.functions.models import BYTES_PER_TOKEN, DEFAULT, Limits, Registry
 from fathomtext.operators import markdown
 from fathomtext.operators.tokens import _WORD, Counter, back_up, extent
 
 FILL = 50  # a boundary below this percentage of the window isn't taken
-CHUNK = "array<struct<text:string,start:int,end:int,ordinal:int,headings:array<string>>>"
+CHUNK = "text:string,start:int,end:int,ordinal:int,headings:array<string>"
+_ARROW = {"text": pa.string(), "start": pa.int32(), "end": pa.int32(), "ordinal": pa.int32(), "headings": pa.list_(pa.string())}
+AT_ONCE = 1 << 20
 BLANK = b" \t\n\r"
 _SENTENCE = re.compile(rb"(?s).*[.!?](?=[ \t\n\r])")
 _LAST_BLANK = re.compile(rb"(?s).+(?=[ \t\n\r])")
@@ -86,8 +91,13 @@ def _cut(text: bytes, a: int, b: int, ordinal: int) -> tuple[int, int, int] | No
 
 
 def split(text: str, model: str = "", o: SplitOptions = SplitOptions()) -> list[Chunk]:
+    return list(chunks(text, model, o))
+
+
+def chunks(text: str, model: str = "", o: SplitOptions = SplitOptions()) -> Iterator[Chunk]:
+    """As split, one chunk at a time; only the spans of the whole text are held."""
     if not _WORD.search(text):
-        return []
+        return
     raw = text.encode()
     n = len(raw)
     most, by_tokens = _budget(model, n, o)
@@ -96,8 +106,9 @@ def split(text: str, model: str = "", o: SplitOptions = SplitOptions()) -> list[
         return Chunk(raw[span[0] : span[1]].decode("utf-8", "replace"), *span, path)
 
     if most <= 0 or (n <= most and not by_tokens):
-        only = _cut(raw, 0, n, 0)
-        return [chunk(only)] if only else []
+        if only := _cut(raw, 0, n, 0):
+            yield chunk(only)
+        return
     most = max(most, 4)
     found = markdown.scan(raw) if o.markdown else []
     sections = [h.start for h in found]
@@ -129,7 +140,8 @@ def split(text: str, model: str = "", o: SplitOptions = SplitOptions()) -> list[
             if not held or b > held[-1][1]:
                 held.append((a, b, len(held)))
         spans = held
-    return [chunk(s, markdown.path_at(found, s[0], sections) if found else None) for s in spans]
+    for s in spans:
+        yield chunk(s, markdown.path_at(found, s[0], sections) if found else None)
 
 
 def _absorb(raw: bytes, spans: list, most: int, o: SplitOptions, by_tokens: bool) -> list:
@@ -153,19 +165,67 @@ def _absorb(raw: bytes, spans: list, most: int, o: SplitOptions, by_tokens: bool
     return [*head, left, right]
 
 
+def _pieces(texts: pa.Array, model: str, options: SplitOptions) -> Iterator[tuple[list[int], list[pa.Array]]]:
+    """The chunks of a column of texts by and by: each one's row, and a column for each field."""
+    rows: list[int] = []
+    held: list[Chunk] = []
+    size = 0
+
+    def taken() -> tuple[list[int], list[pa.Array]]:
+        return rows, [pa.array([c[k] for c in held], kind) for k, kind in enumerate(_ARROW.values())]
+
+    for i in range(len(texts)):
+        text = texts[i].as_py()
+        for c in chunks(text, model, options) if text is not None else ():
+            rows.append(i)
+            held.append(c)
+            size += 256 + c.end - c.start  # a chunk has objects beside its text
+            if size >= AT_ONCE:
+                yield taken()
+                rows, held, size = [], [], 0
+    if held:
+        yield taken()
+
+
 def split_chunks(text: Column, model: str = "", options: SplitOptions = SplitOptions()) -> Column:
     """array<chunk> of a text Column; null stays null."""
 
-    @pandas_udf(CHUNK)
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else [c._asdict() for c in split(t, model, options)])
+    @arrow_udf(f"array<struct<{CHUNK}>>")
+    def run(texts: pa.Array) -> pa.Array:
+        counts = [0] * len(texts)
+        parts = []
+        for rows, columns in _pieces(texts, model, options):
+            parts.append(pa.StructArray.from_arrays(columns, list(_ARROW)))
+            for i in rows:
+                counts[i] += 1
+        offsets, at = [], 0
+        for n, known in zip(counts, texts.is_valid().to_pylist(), strict=True):
+            offsets.append(at if known else None)
+            at += n
+        found = pa.concat_arrays(parts) if parts else pa.array([], pa.struct(_ARROW.items()))
+        return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), found)
 
     return run(text)
 
 
 def split_df(df: DataFrame, text: str = "text", model: str = "", options: SplitOptions = SplitOptions(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a chunk: the kept columns, then text, start, end, ordinal, headings."""
-    return df.select(*keep, F.inline(split_chunks(F.col(text), model, options)))
+    """One row a chunk: the kept columns, then text, start, end, ordinal, headings.
+
+    Chunks leave Python by and by, so its memory goes with the batches it is sent (Spark bounds
+    their rows and bytes), not with the chunks that they give."""
+    kept = df.select(*keep)
+    names = [*(f"kept{k}" for k in range(len(kept.columns))), *_ARROW]
+    own = df.select(*keep, F.col(text)).toDF(*names[: len(kept.columns)], "source")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, texts = batch.columns
+            for rows, columns in _pieces(texts, model, options):
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in others), *columns], names)
+
+    schema = StructType([*own.schema.fields[:-1], *StructType.fromDDL(CHUNK).fields])
+    return own.mapInArrow(run, schema).toDF(*kept.columns, *_ARROW)
 
 
 def register_sql(spark: SparkSession, name: str = "split_text") -> None:

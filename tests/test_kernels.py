@@ -328,3 +328,41 @@ def test_calibration_stream(spark, tmp_path):
     q.stop()
     r = spark.table("calibrated").collect()[-1]
     assert (r.samples, r.clipped, r["min"], r.p10, r.median, r["mean"]) == (10, 1, 1.0, 2.0, 6.0, 5.5)
+
+
+def test_chunks_leave_by_and_by():
+    """What Python holds doesn't grow with the texts of a batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from fathomtext.operators import split as module
+
+    def peak(texts):
+        column, n = pa.array(texts), 0
+        tracemalloc.start()
+        for rows, columns in module._pieces(column, "", SplitOptions(max_bytes=60)):
+            assert len(rows) == len(columns[0])
+            n += len(rows)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most
+
+    words = "some words of a text. " * 200
+    few, many = peak([words] * 250), peak([words] * 1000)
+    assert many[0] == 4 * few[0] and many[1] < 1.2 * few[1] and many[1] < 8 << 20
+
+
+def test_split_df_and_split_chunks(spark):
+    from fathomtext.operators.split import split_chunks, split_df
+    from pyspark.sql import functions as F
+
+    texts = ["one two three four. " * 9, None, "", " \n", "é" * 100, "# A\nbody of a\n# B\nbody of b", "last words"]
+    df = spark.createDataFrame([(i, {"k": i}, t) for i, t in enumerate(texts)], "id bigint, m map<string,int>, text string").repartition(2)
+    for o in (SplitOptions(max_bytes=30), SplitOptions(max_bytes=20, markdown=True), SplitOptions(max_tokens=3, tokenizer=tokens.count_words)):
+        want = [(i, {"k": i}, t, *c) for i, t in enumerate(texts) if t is not None for c in split(t, "", o)]
+        got = split_df(df, options=o, keep=("id", "m", "text"))
+        assert got.columns == ["id", "m", "text", "text", "start", "end", "ordinal", "headings"]
+        assert sorted((tuple(r) for r in got.collect()), key=lambda r: (r[0], r[6])) == want
+        found = {r.id: r.c for r in df.select("id", split_chunks(F.col("text"), options=o).alias("c")).collect()}
+        assert found == {i: None if t is None else [tuple(c) for c in split(t, "", o)] for i, t in enumerate(texts)}
+    assert split_df(df.where("id < 0"), options=o, keep=("id",)).count() == 0
