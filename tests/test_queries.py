@@ -204,3 +204,49 @@ def test_records_of_empty_texts_and_fields(spark, tmp_path):
 def test_records_for_a_task_of_empty_texts_and_fields(spark, tmp_path):
     want = {1: "lang: en\n\nx", 2: "lang: en", 3: "x", 4: "lang: en\n\nx", 5: "x", 6: "", 8: "lang: en\n\n \n"}
     assert odd_records(spark, tmp_path, "format_record_for_task") == {k: f"clustering:\n{v}" for k, v in want.items()} | {7: None}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_ranks_without_moving_pairs(spark, monkeypatch, kind):
+    """Ranks by counts are those of a window over all pairs, with odd vectors and ids that occur twice, as queries, too."""
+    from fathomtext.operators import pairs, rerank
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pairs, "PER_BLOCK", 40)
+    monkeypatch.setattr(pairs, "PER_RANGE", 25)
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 230").select("vec_id", "embedding")
+    odd = [(1000, None), (1001, []), (1002, [0.0] * 64), (1003, [1.0, 2.0]), (1004, [1.0] * 64), (1005, [1.0] * 64), (1005, [-1.0] * 64), (1006, [1.0] * 64), (None, [1.0] * 64), (7, None), (7, [0.5] * 64), (8, [1.0] * 64)]
+    e = e.unionByName(spark.createDataFrame(odd, "vec_id bigint, embedding array<float>")).withColumn("vec_id", F.col("vec_id").cast(kind))
+    for queries, digits in (("true", 1), ("id % 100 = 0", 1), ("id % 5 = 0 OR id = 7", 3)):
+        want = rerank.rank(pairs.all_pairs(e, queries=queries).withColumn("score", F.round("score", digits)))
+        got = pairs.ranked_pairs(e, queries=queries, digits=digits)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        found = Counter(map(tuple, got.collect()))
+        assert found == Counter(map(tuple, want.collect())) and len(found) > 400
+    assert pairs.ranked_pairs(e.limit(0)).count() == 0
+    assert pairs.ranked_pairs(e.where("vec_id = 3")).count() == 0
+
+
+def test_rerank_ties_moves_no_pairs(spark):
+    """What makes the pairs is the last step: no window and no exchange comes after it."""
+    plan = plans.queries()["rerank_ties"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    after = plan.split("MapInArrow")[0]
+    assert "MapInArrow" in plan and "Exchange" not in after and "Window" not in after
+
+
+def test_runs_of_one_id_stay_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from fathomtext.operators import pairs
+
+    r = np.random.default_rng(4)
+    q, d = pa.array([1, 2, 2, 2, 3, 5, 5, 9]), pa.array(list(range(40)))
+    qv, dv = (pa.array(r.normal(size=(n, 3)).tolist(), pa.list_(pa.float32())) for n in (8, 40))
+
+    def found(n):
+        monkeypatch.setattr(pairs, "QUERIES_AT_ONCE", n)
+        parts = list(pairs._ordered(q, qv, d, dv, 1))
+        return len(parts), [np.concatenate(x).tolist() for x in zip(*parts, strict=True)]
+
+    whole = found(100)
+    assert whole[0] == 1 and found(2) == (3, whole[1]) and found(1)[1] == whole[1]
